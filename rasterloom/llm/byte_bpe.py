@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -173,48 +174,45 @@ _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 GROUP = 1 << 20
 
 
-def _coder(path: str, pattern: str):
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, pattern)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            start = 0
-            while start < len(texts):
-                end, size, some = start, 0, []
-                while end < len(texts) and (end == start or size < GROUP):
-                    some.append(texts[end].as_py())
-                    size += len(some[-1] or "")
-                    end += 1
-                coded = list(bpe.encode(some))
-                plain = bpe.decode(coded)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, end - start), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string())],
-                    schema=_CODED,
-                )
-                start = end
-
-    return code
+def _code(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = tokenizer(path, pattern)
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        start = 0
+        while start < len(texts):
+            end, size, some = start, 0, []
+            while end < len(texts) and (end == start or size < GROUP):
+                some.append(texts[end].as_py())
+                size += len(some[-1] or "")
+                end += 1
+            coded = list(bpe.encode(some))
+            plain = bpe.decode(coded)
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(start, end - start), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string())],
+                schema=_CODED,
+            )
+            start = end
 
 
-def token_ids(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every row."""
+def _ids(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = tokenizer(path, pattern)
+    for batch in batches:
+        coded = [np.frombuffer(c, "<u4").astype(np.int32) for c in bpe.encode(batch.column(1).to_pylist())]
+        offsets = np.concatenate(([0], np.cumsum([len(c) for c in coded]))).astype(np.int32)
+        flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, pattern)
-        for batch in batches:
-            coded = [np.frombuffer(c, "<u4").astype(np.int32) for c in bpe.encode(batch.column(1).to_pylist())]
-            offsets = np.concatenate(([0], np.cumsum([len(c) for c in coded]))).astype(np.int32)
-            flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
+def token_ids(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and ids (array<int>) of every row."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_ids, path, pattern), "doc_id long, ids array<int>")
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. No shuffle."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_coder(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_code, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

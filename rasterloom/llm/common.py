@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import ship_package
+
 #: Rows in an Arrow batch. Texts may be long, so a batch stays small whatever the session's default is.
 ARROW_ROWS = 256
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds in a Python worker."""
+    """Bounds what one Arrow batch holds in a Python worker, and makes sure that workers can import this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

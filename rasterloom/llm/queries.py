@@ -11,6 +11,7 @@ MODULES = {
     "op7_decontaminate": "decontaminate",
     "op8_exact_dedup": "exact_dedup",
     "op9_byte_bpe": "byte_bpe",
+    "op10_token_store": "token_store",
 }
 
 

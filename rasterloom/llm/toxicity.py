@@ -25,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -254,21 +255,18 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_clauses", pa.int64())])
 
 
-def scorer(model: Model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.machine()
-        for batch in batches:
-            got = [features(x.as_py(), machine) for x in batch.column(1)]
-            x = np.array([f for f, _ in got]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64()), pa.array([n for _, n in got], pa.int64())], schema=_SCORES)
-
-    return score
+def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine = model.machine()
+    for batch in batches:
+        got = [features(x.as_py(), machine) for x in batch.column(1)]
+        x = np.array([f for f, _ in got]).reshape(-1, len(FEATURES))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64()), pa.array([n for _, n in got], pa.int64())], schema=_SCORES)
 
 
 def toxicity(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, n_clauses (that matched) of every row. No shuffle."""
     small_batches(documents.sparkSession)
-    scores = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scorer(model), "doc_id long, score double, n_clauses long")
+    scores = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, model), "doc_id long, score double, n_clauses long")
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
 
 
