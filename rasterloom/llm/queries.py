@@ -7,7 +7,9 @@ from importlib import import_module
 #: Query name -> module of this package that defines it under the same name.
 MODULES = {
     "op1_toxicity": "toxicity",
+    "op2_html_extract": "html_extract",
     "op3_near_dedup": "near_dedup",
+    "op6_secret_scan": "secret_scan",
     "op7_decontaminate": "decontaminate",
     "op8_exact_dedup": "exact_dedup",
     "op9_byte_bpe": "byte_bpe",
