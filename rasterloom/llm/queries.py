@@ -9,6 +9,7 @@ MODULES = {
     "op1_toxicity": "toxicity",
     "op2_html_extract": "html_extract",
     "op3_near_dedup": "near_dedup",
+    "op4_url_filter": "url_filter",
     "op5_pii": "pii",
     "op6_secret_scan": "secret_scan",
     "op7_decontaminate": "decontaminate",
