@@ -1,14 +1,64 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
+
+All stages but the last return the columns of the documents they were given; extra columns stay. The keys of decisions are joined
+back by doc_id, so doc_id is expected to name a row; rows without one pass every stage that decides by it. Rows that repeat both doc_id and
+text are dropped by exact dedup, all but one. An empty table passes through.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rasterloom.llm.byte_bpe import RANKS, digests
 from rasterloom.llm.common import cut, table
+from rasterloom.llm.decontaminate import overlaps
+from rasterloom.llm.exact_dedup import exact_groups
+from rasterloom.llm.near_dedup import near_groups
+from rasterloom.llm.toxicity import keep_clean, train
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in dropped. The ids are written first, so that their true size decides how they are joined."""
+    gone = cut(dropped.select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct(), "dropped")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score reaches the threshold."""
+    return keep_clean(docs, train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of equal texts."""
+    groups = cut(exact_groups(docs), "groups")
+    kept = _without(docs, groups.where("NOT kept"))
+    # only rows that repeat a doc_id may still be equal
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    again = cut(again, "again")
+    once = kept.join(again, kept["doc_id"] == again["again"], "left_anti")
+    return once.unionByName(kept.join(again, kept["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
+    return _without(docs, near_groups(docs).where("NOT kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return _without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens and hashes of the ids and of what they decode to."""
+    return digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("byte_bpe", byte_bpe)]
 
-#: No SQL: the toxicity model is trained.
+#: No SQL: the toxicity model is trained, and merges by rank need recursion for every word.
 ORACLE_SQL = None
 
 

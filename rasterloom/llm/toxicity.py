@@ -270,6 +270,20 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_clauses")
 
 
+def _clean(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine = model.machine()
+    for batch in batches:
+        if len(batch):
+            x = np.array([features(t.as_py(), machine)[0] for t in batch.column(at)])
+            yield batch.filter(pa.array(model.score(x) < THRESHOLD))
+
+
+def keep_clean(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold. No shuffle."""
+    small_batches(documents.sparkSession)
+    return documents.mapInArrow(partial(_clean, model, documents.columns.index("text")), documents.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
