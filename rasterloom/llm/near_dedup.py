@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 FLOOR = 0.75
 BLOCK = 128
 PIECE = 1 << 20
+#: Classes (a doc_id and a hash each) that are broadcast to the texts; with more of them the texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -165,7 +166,8 @@ _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x589965CC
 
 def band_hashes(levels: np.ndarray) -> np.ndarray:
     pair = np.ascontiguousarray(levels[: BANDS * ROWS]).view(np.uint64).reshape(BANDS, 2)
-    return mix(mix(pair[:, 0] + _BAND_SALT) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15) + _BAND_SALT)).view(np.int64)
+    mixed = mix(mix(pair[:, 0] + _BAND_SALT) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15) + _BAND_SALT))
+    return ((mixed & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def set_key(items: np.ndarray) -> str | None:
@@ -223,15 +225,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def _forest(frame: pd.DataFrame) -> pd.DataFrame:
-    """The links of one pair of blocks, less those that close a circle."""
-    frame = frame.sort_values("rep", kind="stable").drop_duplicates("rep")
-    left, right, band = int(frame["low"].iloc[0]), int(frame["high"].iloc[0]), int(frame["band"].iloc[0])
-    ids = frame["rep"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in frame["items"]]
-    levels = np.stack([np.frombuffer(x, np.uint16) for x in frame["levels"]])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def forest(left: int, right: int, band: int, rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
+    """The links of one pair of blocks, less those that close a circle. rows: id, block, set and registers of each class."""
+    rows = list({r[0]: r for r in rows}.values())
+    ids = np.array([r[0] for r in rows])
+    blocks = np.array([r[1] for r in rows])
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+    levels = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
     sizes = np.array([len(x) for x in sets], np.float64)
-    blocks = frame["block"].to_numpy()
     banded = levels[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
     parent = list(range(len(ids)))
 
@@ -241,7 +245,7 @@ def _forest(frame: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    a, b = [], []
+    out = []
     for i in np.flatnonzero(blocks == left):
         others = np.flatnonzero(blocks == right)
         if left == right:
@@ -257,15 +261,35 @@ def _forest(frame: pd.DataFrame) -> pd.DataFrame:
             x, y = find(i), find(j)
             if x != y and linked(sets[i], sets[j]):
                 parent[y] = x
-                a.append(max(ids[i], ids[j]))
-                b.append(min(ids[i], ids[j]))
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket, low and high; a group is held only while its rows come in."""
+    key, band, rows = None, 0, []
+
+    def told() -> pa.RecordBatch:
+        found = forest(key[1], key[2], band, rows) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_LINK)
+
+    for batch in batches:
+        bucket, low, high, bands, reps, blocks, items, levels = (c.to_pylist() for c in batch.columns)
+        for at in zip(bucket, low, high, bands, reps, blocks, items, levels, strict=True):
+            if at[:3] != key:
+                if len(rows) > 1 and (links := told()).num_rows:
+                    yield links
+                key, band, rows = at[:3], at[3], []
+            rows.append(at[4:])
+    if len(rows) > 1:
+        yield told()
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
-    Texts are shuffled once, for the classes that share a bucket; sets and registers of those only are shuffled by bucket.
+    Sets and registers of the classes that share a bucket are the only large thing shuffled; texts are too, once, if such classes are
+    too many to be broadcast.
     """
     small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,15 +297,23 @@ def near_groups(documents: DataFrame) -> DataFrame:
     known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     heads = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
-    placed = heads.select(F.col("doc_id").alias("rep"), "set_key", F.posexplode("bands").alias("band", "bucket"))
+    # a bucket's number ends in that of its band
+    placed = heads.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = cut(placed.join(shared, "bucket"), "placed")
+    # buckets with the same members are looked at once, in the first band: there all their pairs collide first
+    members = placed.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
+    first = members.groupBy("n", "x", "y").agg(F.min(F.struct(F.expr("bucket & 63").alias("band"), "bucket")).alias("first")).select("first.band", "first.bucket")
+    placed = placed.join(first, "bucket").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
     # each member goes to every pair of blocks that its own block is in
-    placed = cut(placed.join(shared, "bucket").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "placed")
-    wanted = placed.select(F.col("rep").alias("doc_id"), "set_key").distinct()
+    wanted = cut(placed.select(F.col("rep").alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_key"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     full = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full, "rep long, items binary, levels binary"), "sets")
     spread = placed.select("rep", "band", "bucket", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, block) AS low, greatest(x, block) AS high))")).alias("p"))
     spread = spread.select("rep", "band", "bucket", "block", "p.low", "p.high").join(full, "rep")
-    links = spread.groupBy("bucket", "low", "high").applyInPandas(_forest, "a long, b long")
+    grouped = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(_links, "a long, b long")
     found = components(links)
     roots = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     with_set = known.join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
