@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADLER = 65521
 
@@ -36,7 +37,7 @@ def adler32_of_ints(values: Column) -> Column:
     return (b % ADLER) * 65536 + a % ADLER
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     """Adler-32 of byte strings, Arrow batch by Arrow batch: Spark has no such function, and byte arrays would cost a hundredfold."""
     return data.map(lambda b: None if b is None else zlib.adler32(b)).astype("Int64")

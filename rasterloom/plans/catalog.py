@@ -226,7 +226,8 @@ def stream_encode(spark, sf_dir):
 
     spec = grey(spark, sf_dir)
     schema = table(spark, sf_dir, "embeddings").schema
-    vectors = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/embeddings.parquet")
+    # a pattern, for a plain path would have to be a folder
+    vectors = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="rasterloom-")
     base = f"{shared}/rasterloom/stream-{uuid.uuid4().hex}"
     out = encode_stream(binary(quantised(vectors)), spec, S.EncodeOptions(S.WINDOW, streaming=True))
