@@ -44,6 +44,11 @@ def seeds(texts: DataFrame, key: str) -> DataFrame:
     return hashed.select(key, "n", F.posexplode(F.expr(f"concat({laid})")).alias("at", "seed")).where("seed IS NOT NULL").select(key, F.expr("at % n").alias("pos"), "seed")
 
 
+def once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """df with value as a column that the optimiser can't copy into a lambda, where it would be computed for every element."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens (of the item), n_matched (most tokens that agree on one diagonal) of every overlapping pair."""
     tests = seeds(benchmark, "item_id").distinct().withColumnRenamed("pos", "item_pos")
@@ -54,8 +59,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = cut(hits, "hits")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes("text").alias("item")).withColumn("n_tokens", F.size("item"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = texts.join(hits, "doc_id").join(items, "item_id").select("doc_id", "item_id", "n_tokens", "diagonal", token_hashes("text").alias("h"), "item").where("n_tokens > 0")
-    agree = near.select("doc_id", "item_id", "n_tokens", F.expr("transform(sequence(0, n_tokens - 1), k -> if(get(item, k) = get(h, k + diagonal), 1, 0))").alias("agree")).withColumn("w", F.least(F.lit(WINDOW), "n_tokens"))
+    near = once(texts.join(hits, "doc_id").join(items, "item_id"), "h", token_hashes("text"), "doc_id", "item_id", "n_tokens", "diagonal", "item").where("n_tokens > 0")
+    # the document's tokens beside the item's, with nulls where the item hangs over an end
+    beside = "concat(array_repeat(CAST(NULL AS BIGINT), greatest(0, -diagonal)), slice(h, greatest(0, diagonal) + 1, n_tokens))"
+    agree = once(near, "agree", F.expr(f"slice(zip_with(item, {beside}, (x, y) -> if(x = y, 1, 0)), 1, n_tokens)"), "doc_id", "item_id", "n_tokens").withColumn("w", F.least(F.lit(WINDOW), "n_tokens"))
     enough = F.expr(f"exists(sequence(0, n_tokens - w), s -> 100 * aggregate(slice(agree, s + 1, w), 0, (a, x) -> a + x) >= {SIMILARITY} * w)")
     return (
         agree.where(enough)
