@@ -44,8 +44,8 @@ HEADER = struct.Struct("<8sIIQQ")
 FOOTER = struct.Struct("<QQQ")
 GAMMA = 2
 LEVELS = 24
-#: Words whose ids a worker remembers.
-KNOWN = 600_000
+#: Words whose ids a worker remembers, and the longest of them; some 250 bytes each.
+KNOWN, KEPT = 1_300_000, 48
 _KEY = np.dtype([("doc_id", "<i8"), ("occurrence", "<u4"), ("null", "u1")])
 _SLOT = np.dtype([("offset", "<u8"), ("count", "<u4"), ("fingerprint", "<u4")])
 
@@ -115,6 +115,29 @@ class PerfectHash:
 _BETWEEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: The tokenizer always cuts between a letter or digit and such marks, and it lower-cases.
+_TAIL = re.compile(r"(.*[^\W_])([.,:;!?|#$%&*]+)", re.S)
+
+
+class _Known(dict):
+    """Words and their ids; a word that isn't there is encoded, and kept unless it is long."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if m := _TAIL.fullmatch(word):
+            ids = self[m[1]] + self[m[2]]
+        elif word.isascii() and (low := word.lower()) != word:
+            ids = self[low]
+        else:
+            ids = self.encode(word)
+        if len(word) <= KEPT:
+            self[word] = ids
+        return ids
+
+
 class Words:
     """Ids of a text by those of its words. The tokenizer drops white space and never looks across it, so a word's ids don't depend on its neighbours."""
 
@@ -126,23 +149,14 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
-        cut_up = [_BETWEEN.findall(t) if t else [] for t in texts]
-        new = {w for words in cut_up for w in words if w not in known}
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = {w for words in cut_up for w in words}
-        ordered = sorted(new)
-        for at in range(0, len(ordered), 4096):
-            some = ordered[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        end = np.array([END], self.kind).tobytes()
-        for words in cut_up:
-            yield b"".join([known[w] for w in words]) + end
+        known, end = self.known, np.array([END], self.kind).tobytes()
+        for text in texts:
+            if len(known) > KNOWN:
+                known.clear()
+            yield b"".join(map(known.__getitem__, _BETWEEN.findall(text))) + end if text else end
 
 
 _open: dict[str, Words] = {}
