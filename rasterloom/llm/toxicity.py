@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-POSITIVE_ROWS, NEGATIVE_ROWS = 2000, 4000
+POSITIVE_ROWS, NEGATIVE_ROWS = 2000, 3000
 TRAIN_CHARS = 20_000
 MAX_STEMS = 400
 STEM = (4, 12)
-LEAST_RATIO, LEAST_GAIN = 4.0, 30.0
+LEAST_TEXTS, LEAST_RATIO, LEAST_GAIN = 4, 4.0, 30.0
 SCOPE = 3
 THRESHOLD = 0.7
 
@@ -164,19 +164,25 @@ def _gain(a: int, b: int, toxic: int, clean: int) -> float:
 
 
 def learn_stems(texts: list[str], toxic: list[bool]) -> dict[str, float]:
-    held: dict[str, list[set[int]]] = defaultdict(lambda: [set(), set()])  # word -> toxic and clean documents
     counts: list[Counter] = [Counter(), Counter()]
+    words_of = lambda text: Counter(m.group() for m in _WORD.finditer(text.lower()))
+    stems_of = lambda w: (w + "$", *(w[:k] for k in range(STEM[0], min(STEM[1], len(w)) + 1)))
+    # only what several toxic texts hold can stand out, so nothing else is kept
+    usual = Counter(s for text, bad in zip(texts, toxic, strict=True) if bad for s in {s for w in words_of(text) for s in stems_of(w)})
+    usual = {s for s, k in usual.items() if k >= LEAST_TEXTS}
+    held: dict[str, list[set[int]]] = {}  # word -> toxic and clean texts
+    under: dict[str, list[str]] = defaultdict(list)
     for i, (text, bad) in enumerate(zip(texts, toxic, strict=True)):
-        words = Counter(m.group() for m in _WORD.finditer(text.lower()))
+        words = words_of(text)
         counts[not bad].update(words)
         for w in words:
+            if w not in held:
+                if not (mine := [s for s in stems_of(w) if s in usual]):
+                    continue
+                held[w] = [set(), set()]
+                for s in mine:
+                    under[s].append(w)
             held[w][not bad].add(i)
-    under: dict[str, list[str]] = defaultdict(list)
-    for w, (bad, _) in held.items():
-        if bad:
-            under[w + "$"].append(w)
-        for k in range(STEM[0], min(STEM[1], len(w)) + 1):
-            under[w[:k]].append(w)
     n, m = sum(toxic), len(toxic) - sum(toxic)
     covered: set[str] = set()
 
