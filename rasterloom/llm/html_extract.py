@@ -1,9 +1,9 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's HTML becomes a tree: block elements are inner nodes, runs of inline text (the blocks) are leaves. Every node is content or
-not. A node's own evidence (tag, words of class, id and role, text length, share of linked text, punctuation) gives its potential, and
-each parent-child edge has a 2 x 2 potential that depends on the child's kind. Sum-product messages go from the leaves to the root
-and back; a block is part of the main text if its marginal is over one half. Weights are fitted by gradient ascent on the
+not. A node's own evidence (tag, words of class, id and role, what kind of part it is in, text length, share of linked text,
+punctuation) gives its potential, and each parent-child edge has a 2 x 2 potential that depends on the child's kind. Sum-product
+messages go from the leaves to the root and back; a block is part of the main text if its marginal is over one half. Weights are fitted by gradient ascent on the
 conditional likelihood of labelled pages (labelled_pages writes them in several page layouts; train takes any others).
 
 Scripts, styles, comments and the head never become text. Character references are decoded, white space within a block becomes one
@@ -59,10 +59,10 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]
 _PART = re.compile(r"[A-Za-z]+")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>?""", re.S)
 LEAF = ["leaf", "log_length", "short", "link_share", "ends_sentence", "many_words", "mark"]
-UNARY = [f"tag_{t}" for t in TAGS] + [f"word_{w}" for w in _WORD_KINDS] + LEAF + ["top", "bias"]
+UNARY = [f"tag_{t}" for t in TAGS] + [f"word_{w}" for w in _WORD_KINDS] + LEAF + ["in_container", "in_noise", "top", "bias"]
 EDGE = ["any", "noise_child", "content_child", "leaf_child", "landmark_child"]
 _LANDMARKS = {TAGS.index(t) for t in ("nav", "header", "footer", "aside", "form")}
-_CONTAINERS = {TAGS.index(t) for t in ("article", "main")}
+_CONTAINERS = {TAGS.index(t) for t in ("article", "main")}  # what holds content by its tag
 _MARKS = re.compile(r"[©®]")
 
 
@@ -100,6 +100,17 @@ def parse(page: str | None) -> Tree:
     run: list[str] = []
     linked = [0, 0]  # depth of open links, linked characters in the run
     golds: list[int] = []
+    places: list[int] = []  # of the open elements: 1 in a container of content, 2 in a part that is named otherwise, else 0
+
+    def place(kind: int, words: tuple[int, ...]) -> int:
+        above = places[-1] if places else 0
+        if above == 2 or any(w in _NOISE for w in words):
+            return 2
+        if kind in _CONTAINERS or 0 in words:
+            return 1
+        if kind in _LANDMARKS:  # an article has a header of its own
+            return above if TAGS[kind] == "header" and above else 2
+        return above
 
     def add(kind: int, words: tuple[int, ...], leaf: list[float] | None, gold: int) -> int:
         x = [0.0] * len(UNARY)
@@ -110,7 +121,8 @@ def parse(page: str | None) -> Tree:
                 x[len(TAGS) + w] = 1.0
         else:
             x[len(TAGS) + len(_WORD_KINDS) : len(TAGS) + len(_WORD_KINDS) + len(LEAF)] = leaf
-        x[-2], x[-1] = float(depth <= 1), 1.0
+        here = place(kind, words) if leaf is None else places[-1]
+        x[-4], x[-3], x[-2], x[-1] = float(here == 1), float(here == 2), float(depth <= 1), 1.0
         noise = any(w in _NOISE for w in words)
         tree.parent.append(nodes[-1] if nodes else -1)
         tree.depth.append(depth)
@@ -138,6 +150,7 @@ def parse(page: str | None) -> Tree:
             gold = int(m[1])
         node = add(_TAG_KIND.get(name, len(TAGS) - 1), _named(attributes) if attributes else (), None, gold)
         names.append(name)
+        places.append(place(_TAG_KIND.get(name, len(TAGS) - 1), _named(attributes) if attributes else ()))
         nodes.append(node)
         golds.append(gold)
         held[name] = held.get(name, 0) + 1
@@ -146,6 +159,7 @@ def parse(page: str | None) -> Tree:
         for _ in range(count):
             held[names.pop()] -= 1
             nodes.pop()
+            places.pop()
             golds.pop()
 
     def close_like(kinds: set[str], stop: set[str]) -> None:
@@ -292,7 +306,7 @@ def train(pages: list[str], steps: int = 160, rate: float = 0.1, hold: float = 2
     return model
 
 
-def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 360, seed: int = 7) -> list[str]:
     """Pages in several layouts whose elements are labelled; words are invented, so only structure and shape tell."""
     r = random.Random(seed)
     pick, chance = r.choice, lambda p: r.random() < p
@@ -326,10 +340,11 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
         by = f' {pick(("class", "id", "class"))}="{pick(("", "site-", "page-", "js-"))}{name}{pick(("", "-box", " wide", "-1"))}"' if tag in ("div", "section") or chance(0.5) else ""
         return f'<{tag}{by} data-y="0">{body}</{tag}>'
 
-    def article() -> str:
-        out = [f"<h1>{words(2, 12).capitalize()}</h1>" if chance(0.85) else ""]
-        for _ in range(r.randint(1, 12) if chance(0.8) else r.randint(20, 70)):
-            kind = r.random()
+    def article(noise: bool = True) -> str:
+        tiny, lists = chance(0.15), chance(0.12)
+        out = [f"<h1>{words(2, 12).capitalize()}</h1>" if chance(0.3 if tiny else 0.85) else ""]
+        for _ in range(1 if tiny else r.randint(1, 12) if chance(0.8) else r.randint(20, 70)):
+            kind = 0.8 if lists and chance(0.7) else r.random()
             if kind < 0.6:
                 out.append(f"<p>{prose()}" + ("</p>" if chance(0.8) else ""))
             elif kind < 0.72:
@@ -348,7 +363,7 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
                 out.append(f"<div>{prose(1, 4)}</div>")
             else:
                 out.append(f"<p><b>{prose(1, 3)}<br><p>{prose(1, 3)}")
-            if chance(0.06):
+            if noise and chance(0.06):
                 out.append(pick((advert, share, related))())
         return "".join(out)
 
@@ -384,10 +399,12 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
     out = []
     for _ in range(count):
         tone[0] = pick(("plain", "plain", "plain", "plain", "pipes", "caps", "junk", "bare", "terse", "terse"))
-        text = article()
-        tone[0] = "plain"
         wrap = r.random()
-        if wrap < 0.45:
+        text = article(wrap >= 0.06)
+        tone[0] = "plain"
+        if wrap < 0.06:  # right in the body
+            core = re.sub(r"<(p|h[1-6]|ul|li|blockquote|table|tr|td|figure|figcaption|div)(?=[ >])", r'<\1 data-y="1"', text)
+        elif wrap < 0.45:
             core = f'<article data-y="1">{pick(("", "<header>{}</header>".format(f"<h1>{words(2, 8)}</h1>"))) if chance(0.3) else ""}{text}</article>'
         elif wrap < 0.6:
             core = f'<main data-y="1">{text}</main>'
@@ -395,10 +412,11 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
             core = f'<div {pick(("class", "id"))}="{pick(("content", "article-body", "post", "entry-content", "story", "main-text"))}" data-y="1">{text}</div>'
         else:
             core = f'<div data-y="1">{text}</div>'
-        if chance(0.25):
+        if wrap >= 0.06 and chance(0.25):
             core = f'<{(t := pick(("main", "div", "section")))}>{core}{related() if chance(0.4) else ""}</{t}>'
-        before = [f() for f, p in ((head, 0.5), (menu, 0.8), (notice, 0.3), (advert, 0.5), (form, 0.15), (share, 0.1)) if chance(p)]
-        after = [f() for f, p in ((share, 0.2), (related, 0.4), (comments, 0.35), (advert, 0.2), (form, 0.25), (notice, 0.15), (foot, 0.8)) if chance(p)]
+        bare = chance(0.08)
+        before = [f() for f, p in ((head, 0.5), (menu, 0.8), (notice, 0.3), (advert, 0.5), (form, 0.15), (share, 0.1)) if chance(p) and not bare]
+        after = [f() for f, p in ((share, 0.2), (related, 0.4), (comments, 0.35), (advert, 0.2), (form, 0.25), (notice, 0.15), (foot, 0.8)) if chance(p) and not bare]
         if chance(0.3):
             r.shuffle(before)
         page = f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style></head><body>{''.join(before)}{core}{''.join(after)}"
