@@ -138,7 +138,8 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     """
     marks = cut(fingerprints(documents), "marks")
     by = ["fp", "n_bytes"]
-    first = marks.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written before it is joined, so that its side of the join has an exchange of its own and a hot group's rows can be split
+    first = cut(marks.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     members = marks.join(first, by).select("doc_id", "first_id", "text_sha256")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
     others = members.where("doc_id <> first_id").distinct()
@@ -151,7 +152,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     odd = cut(others.select("doc_id", "text_sha256").join(told, ["doc_id", "text_sha256"], "left_anti"), "odd")
     keyed = marks.join(odd.withColumn("odd", F.lit(True)), ["doc_id", "text_sha256"], "left").withColumn("own", F.when(F.col("odd"), F.col("text_sha256")).otherwise(""))
     key = [*by, "own"]
-    sizes = keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    sizes = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "sizes")
     return keyed.join(sizes, key).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
