@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
+        own = tempfile.mkdtemp(prefix="rasterloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        given = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
@@ -63,11 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are written before they are joined back: then both sides have an exchange, and a centre with very many edges is split
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         # large-star: what is larger than the centre moves to the centre's minimum
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), label)
         # small-star: smaller neighbours and the centre itself move to the minimum
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), label)
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

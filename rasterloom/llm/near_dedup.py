@@ -9,8 +9,9 @@ to carriage return); a shorter text is one shingle, a text without words has the
    drawing once every register is filled.
 2. Documents with equal sets form one class, stood for by its smallest doc_id. BANDS bands of ROWS register values put classes in
    buckets; at a similarity of 0.85 two classes miss each other in all bands with a chance of 1e-6.
-3. Buckets of two or more are cut in blocks of about BLOCK classes, and each pair of blocks is one small group whatever the bucket's
-   size. Inside, a pair is looked at in the first band in which it collides. The likelihood of the two registers' comparison,
+3. In a bucket of more than BLOCK classes each is first compared with the smallest. Those not linked to it are cut in blocks of about
+   BLOCK, the others too, and each pair of blocks with one that isn't is a small group whatever the bucket's size; a smaller bucket
+   is a group by itself. Inside a group, a pair is looked at in the first band in which it collides. The likelihood of the two registers' comparison,
    with the set sizes known, has its maximum above FLOOR or the pair is dropped (5 standard deviations below the threshold); what
    remains is confirmed on the full sets. A group returns a spanning forest of its links, never its pairs.
 4. Links become components by alternating large-star and small-star.
@@ -285,6 +286,37 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep and leader of the rows whose sets are linked."""
+    for batch in batches:
+        view = lambda column: [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        told = [linked(a, b) for a, b in zip(view(batch.column(2)), view(batch.column(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(told)), batch.column(1).filter(pa.array(told))], schema=_LINK)
+
+
+def _large(placed: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of large buckets, and links to their leaders.
+
+    Every member is compared with the bucket's leader, its smallest id. Those that are linked to it are connected already, so only the
+    rest are compared among themselves and with them. A bucket of many like texts takes as many rows as it has members; blocks cost
+    more in proportion to those that aren't like the leader.
+    """
+    leaders = cut(placed.groupBy("bucket").agg(F.min("rep").alias("leader")), "leaders")
+    led = cut(placed.join(leaders, "bucket").select("rep", "bucket", "band", "leader"), "led")
+    heads = full.select(F.col("rep").alias("leader"), F.col("items").alias("head"))
+    pairs = led.where("rep <> leader").select("rep", "leader").distinct().join(full, "rep").join(heads, "leader")
+    stars = cut(pairs.select("rep", "leader", "items", "head").mapInArrow(_star, "a long, b long"), "stars")
+    members = led.join(stars, (F.col("rep") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("rep", "bucket", "band", (F.col("a").isNotNull() | (F.col("rep") == F.col("leader"))).alias("like"))
+    members = cut(members, "likes")
+    counts = cut(members.groupBy("bucket").agg(F.sum(F.when(F.col("like"), 1).otherwise(0)).alias("n_like"), F.sum(F.when(F.col("like"), 0).otherwise(1)).alias("n_other")), "counts")
+    # blocks of the others come first, then those of the like
+    dealt = members.join(counts, "bucket").withColumn("others", F.expr(f"(n_other + {BLOCK - 1}) div {BLOCK}")).withColumn("likes", F.expr(f"(n_like + {BLOCK - 1}) div {BLOCK}"))
+    dealt = dealt.where("others > 0").withColumn("block", F.expr("if(like, others + pmod(xxhash64(rep), likes), pmod(xxhash64(rep), others))"))
+    meets = F.expr("if(like, sequence(0L, others - 1), sequence(0L, others + likes - 1))")
+    spread = dealt.select("rep", "bucket", "band", "block", F.explode(meets).alias("x"))
+    return spread.select("rep", "bucket", "band", "block", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high")), stars
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -299,23 +331,24 @@ def near_groups(documents: DataFrame) -> DataFrame:
     heads = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
     # a bucket's number ends in that of its band
     placed = heads.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # tables that hot keys meet are written first: such a join has an exchange on both sides and can be split
+    shared = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     placed = cut(placed.join(shared, "bucket"), "placed")
     # buckets with the same members are looked at once, in the first band: there all their pairs collide first
     members = placed.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
     first = members.groupBy("n", "x", "y").agg(F.min(F.struct(F.expr("bucket & 63").alias("band"), "bucket")).alias("first")).select("first.band", "first.bucket")
-    placed = placed.join(first, "bucket").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
-    # each member goes to every pair of blocks that its own block is in
+    placed = cut(placed.join(first, "bucket"), "members")
     wanted = cut(placed.select(F.col("rep").alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_key"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     full = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full, "rep long, items binary, levels binary"), "sets")
-    spread = placed.select("rep", "band", "bucket", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, block) AS low, greatest(x, block) AS high))")).alias("p"))
-    spread = spread.select("rep", "band", "bucket", "block", "p.low", "p.high").join(full, "rep")
+    small = placed.where(F.col("n") <= BLOCK).select("rep", "bucket", "band", *(F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")))
+    large, stars = _large(placed.where(F.col("n") > BLOCK), full)
+    spread = small.unionByName(large).join(full, "rep")
     grouped = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(_links, "a long, b long")
+    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(_links, "a long, b long").unionByName(stars)
     found = components(links)
-    roots = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
+    roots = cut(classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id")), "roots")
     with_set = known.join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
     rest = sketches.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(rest).withColumn("kept", F.expr("doc_id <=> component_id"))
