@@ -246,8 +246,8 @@ class Forest:
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis)
-    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
+    """Over the two labels."""
+    return np.logaddexp(*np.moveaxis(x, axis, 0))
 
 
 @dataclass
