@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -111,10 +112,19 @@ class PerfectHash:
         return cls(levels, np.frombuffer(data, "<u8", left, at))
 
 
-#: White space to the tokenizer as well as to us; what else it takes for such is left to it.
+#: White space to Python, but not to the tokenizer: a text with such is only cut at what both take for it.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _BETWEEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def cut_words(text: str) -> list[str]:
+    return _BETWEEN.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
+#: How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 #: The tokenizer always cuts between a letter or digit and such marks, and it lower-cases.
 _TAIL = re.compile(r"(.*[^\W_])([.,:;!?|#$%&*]+)", re.S)
 
@@ -147,16 +157,26 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known = _Known(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes())
+        self.known = _Known(self.encode_word)
+
+    def encode_word(self, word: str) -> bytes:
+        """A lower-case word of letters is one piece to the tokenizer, so its model takes it as it is; anything else goes all the way."""
+        if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         known, end = self.known, np.array([END], self.kind).tobytes()
         for text in texts:
             if len(known) > KNOWN:
                 known.clear()
-            yield b"".join(map(known.__getitem__, _BETWEEN.findall(text))) + end if text else end
+            yield b"".join(map(known.__getitem__, cut_words(text))) + end if text else end
 
 
 _open: dict[str, Words] = {}
