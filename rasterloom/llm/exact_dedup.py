@@ -145,7 +145,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     others = members.where("doc_id <> first_id").distinct()
     # the survivors' own rows carry the hash that a repeated doc_id with other texts is told apart by
     theirs = texts.join(others, texts["id"] == others["doc_id"]).select("doc_id", "first_id", "text_sha256", F.col("body").alias("text"))
-    heads = texts.join(members.select("first_id").distinct(), F.col("id") == F.col("first_id")).select(F.col("id").alias("head_id"), F.col("body").alias("head"))
+    heads = cut(texts.join(members.select("first_id").distinct(), F.col("id") == F.col("first_id")).select(F.col("id").alias("head_id"), F.col("body").alias("head")), "heads")
     pairs = theirs.join(heads, theirs["first_id"] == heads["head_id"]).select("doc_id", "text_sha256", "text", "head")
     told = pairs.mapInArrow(_compare, "doc_id long, text_sha256 string, same boolean").where("same").select("doc_id", "text_sha256").distinct()
     # a row is in its fingerprint's group if it is the head or was found the same; anything else falls back to its hash
