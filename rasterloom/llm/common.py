@@ -26,19 +26,47 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+_own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
-        own = tempfile.mkdtemp(prefix="rasterloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        given = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="rasterloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        given = f"file://{_own[app]}"
+    return qualified(spark, given)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """With its scheme: Spark takes a bare path for one of its default store, others must be told."""
+    if "://" not in path:
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = f"file://{path[5:]}"
+    return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is there when this process ends goes with it."""
+    path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _written:
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)
+        elif spark.sparkContext._jsc is not None:  # not stopped yet
+            remove(spark, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
