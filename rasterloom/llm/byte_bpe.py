@@ -35,7 +35,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 KNOWN = 1_000_000
 #: Token rows that one decoding query holds.
-DECODE_ROWS = 1 << 18
+DECODE_ROWS = 1 << 17
 
 _CONTRACT = """
 WITH RECURSIVE step(round, w, pos, id, after, next) AS (
@@ -55,7 +55,7 @@ WITH RECURSIVE step(round, w, pos, id, after, next) AS (
 )
 SELECT w, id FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last ORDER BY w, pos
 """
-_DECODE = "SELECT t.d AS d, string_agg(v.piece, '' ORDER BY t.pos) AS body FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.d"
+_DECODE = "SELECT t.d AS d, array_to_string(list(v.piece ORDER BY t.pos), '') AS body FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.d"
 
 
 class ByteBpe:
