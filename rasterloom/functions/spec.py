@@ -200,7 +200,7 @@ def effective_strategy(color_type: Column, filter_: Column, strategy: Column) ->
     return F.coalesce(strategy, F.when(plain, int(Strategy.DEFAULT)).otherwise(int(Strategy.FILTERED)))
 
 
-def palette_accepted(color_type: Column, palette_bytes: Column, after_transparency: Column) -> Column:
+def palette_accepted(palette_bytes: Column, after_transparency: Column) -> Column:
     """Whether a palette of so many bytes may be written."""
     return (palette_bytes >= 3) & (palette_bytes % 3 == 0) & ~after_transparency
 

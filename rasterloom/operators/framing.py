@@ -35,7 +35,6 @@ def frames(images: DataFrame, chunks: DataFrame, streaming: bool, side: DataFram
     zero = F.lit(0).cast("long")
     parts = [images.select("image_id", F.lit(HEAD).alias("section"), zero.alias("position"), F.lit("IHDR").alias("tag"), header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type")).alias("frame"))]
     if side is not None:
-        # cast rather than checked: what is longer than a frame may be fails in Spark's own size limit first
         parts.append(side.select("image_id", F.lit(SIDE).alias("section"), F.col("position").cast("long").alias("position"), "tag", frame(F.col("tag").cast("binary"), F.col("data")).alias("frame")))
     total = combined_adler(chunks)
     ending = F.when(F.col("n_chunks") > 1, be32(F.col("adler"))).otherwise(F.lit(b""))

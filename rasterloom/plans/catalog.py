@@ -199,7 +199,7 @@ def palette_trns_rules(spark, sf_dir):
     text = ", ".join(f"({c}, {'CAST(NULL AS INT)' if p is None else p}, {n})" for c, p, n in CASES)
     one = values(spark, text, "color_type, palette_bytes, trns_bytes")
     c, p, n = F.col("color_type"), F.col("palette_bytes"), F.col("trns_bytes")
-    good = F.coalesce(S.palette_accepted(c, p, F.lit(False)), F.lit(False))
+    good = F.coalesce(S.palette_accepted(p, F.lit(False)), F.lit(False))
     trns = S.transparency_accepted(c, n, F.when(good, p))
     return one.select(c.cast("long").alias("color_type"), F.coalesce(p, F.lit(-1)).cast("long").alias("palette_bytes"), n.cast("long").alias("trns_bytes"), good.alias("palette_accepted"), trns.alias("trns_accepted"))
 
