@@ -129,6 +129,11 @@ _BYTE_LETTERS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b f
 _TAIL = re.compile(r"(.*[^\W_])([.,:;!?|#$%&*]+)", re.S)
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Also when the tokenizer has composed and lower-cased it: some letters turn into one and a mark."""
+    return word[-1].isascii() or unicodedata.is_normalized("NFC", word) and word[-1].lower()[-1].isalnum()
+
+
 class _Known(dict):
     """Words and their ids; a word that isn't there is encoded, and kept unless it is long."""
 
@@ -137,7 +142,7 @@ class _Known(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if m := _TAIL.fullmatch(word):
+        if (m := _TAIL.fullmatch(word)) and _ends_in_letter(m[1]):
             ids = self[m[1]] + self[m[2]]
         elif word.isascii() and (low := word.lower()) != word:
             ids = self[low]

@@ -51,6 +51,13 @@ def test_marks_capitals_and_white_space():
         assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, S.END]
 
 
+def test_every_letter_before_a_mark():
+    words = S._words(PATH)
+    for c in [*range(0x80, 0x3100), *range(0xF900, 0xFFFF), *range(0x10000, 0x11000, 3)]:
+        text = f"a{chr(c)}b X{chr(c)}. {chr(c)}! e{chr(c)}'s"
+        assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, S.END], hex(c)
+
+
 def expected(rows, library):
     out, start = [], 0
     for doc, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
