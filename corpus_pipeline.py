@@ -19,6 +19,10 @@ from rasterloom.llm.near_dedup import near_groups
 from rasterloom.llm.toxicity import keep_clean, train
 
 
+#: Pieces that a worker keeps between batches.
+REMEMBERED = 240_000
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is in dropped. The ids are written first, so that their true size decides how they are joined."""
     gone = cut(dropped.select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct(), "dropped")
@@ -52,8 +56,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens and hashes of the ids and of what they decode to."""
-    return digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    """doc_id, number of tokens and hashes of the ids and of what they decode to. Workers remember fewer pieces than by default, for they
+    still hold what earlier stages left."""
+    return digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("byte_bpe", byte_bpe)]

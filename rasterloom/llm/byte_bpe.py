@@ -6,7 +6,7 @@ repeats until no word has a pair left; the rows of a word's last round, in order
 cut a vocabulary entry in two entries, since any two neighbours whose concatenation is an entry may merge. Decoding joins the ids
 of a batch with the vocabulary and aggregates the pieces of each document in order of position.
 
-Results for pieces are kept between batches, KNOWN of them at most. A piece of more than LONG bytes would take as many rounds as
+Results for pieces are kept between batches, KNOWN of them at most (half of them the last used). A piece of more than LONG bytes would take as many rounds as
 bytes over its whole length, so it is contracted by a heap over the same merge table (same rule: lowest rank, then leftmost).
 
 Null text counts as empty: no ids, and the hash of nothing. Rows with a null or repeated doc_id are encoded one by one. Extra
@@ -34,6 +34,8 @@ from .common import small_batches
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 KNOWN = 1_000_000
+#: Pieces that one recursive query contracts.
+LEARNED = 20_000
 #: Token rows that one decoding query holds.
 DECODE_ROWS = 1 << 17
 
@@ -61,16 +63,15 @@ _DECODE = "SELECT t.d AS d, array_to_string(list(v.piece ORDER BY t.pos), '') AS
 class ByteBpe:
     """path: the file of ranks; pattern: how texts are cut before they are encoded."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remember: int = KNOWN):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         ranks = self.ranks
-        cuts = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        a, b, merged = (np.array(x, np.int32) for x in zip(*cuts, strict=True))
-        self.merges = pa.table({"a": a, "b": b, "merged": merged})
+        cuts = np.fromiter((x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], r)), np.int32).reshape(-1, 3)
+        self.merges = pa.table({"a": cuts[:, 0].copy(), "b": cuts[:, 1].copy(), "merged": cuts[:, 2].copy()})
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "allocator_flush_threshold": "4MB", "allocator_bulk_deallocation_flush_threshold": "4MB"})
         self.db.register("merges_in", self.merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.unregister("merges_in")
@@ -79,7 +80,7 @@ class ByteBpe:
         self.db.register("vocabulary_in", pieces)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.db.unregister("vocabulary_in")
-        self.known: dict[str, bytes] = {}
+        self.remember, self.known, self.old = remember, {}, {}
         self._pairs: dict[tuple[int, int], int] | None = None
 
     def _long(self, data: bytes) -> bytes:
@@ -112,8 +113,8 @@ class ByteBpe:
                 self.known[w] = self._long(data)
             else:
                 short.append(w)
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
+        for at in range(0, len(short), LEARNED):
+            some = short[at : at + LEARNED]
             data = [w.encode("utf-8", "surrogatepass") for w in some]
             sizes = np.array([len(d) for d in data])
             starts = np.cumsum(sizes) - sizes
@@ -129,14 +130,19 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        known = self.known
         cut = [self.split(t) if t else [] for t in texts]
-        new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > KNOWN:
-            known.clear()
+        new = {w for words in cut for w in words if w not in self.known}
+        if new and 2 * (len(self.known) + len(new)) > self.remember:
+            # what was used since the last turn grows old; what was old and wasn't used goes
+            self.old, self.known = self.known, {}
             new = {w for words in cut for w in words}
         if new:
+            if self.old:
+                again = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+                self.known |= again
+                new -= again.keys()
             self.learn(sorted(new))
+        known = self.known
         for words in cut:
             yield b"".join([known[w] for w in words])
 
@@ -162,10 +168,11 @@ class ByteBpe:
 _open: dict[tuple[str, str], ByteBpe] = {}
 
 
-def tokenizer(path: str, pattern: str) -> ByteBpe:
+def tokenizer(path: str, pattern: str, remember: int = KNOWN) -> ByteBpe:
     """One for each worker process."""
     if (path, pattern) not in _open:
         _open[path, pattern] = ByteBpe(path, pattern)
+    _open[path, pattern].remember = remember
     return _open[path, pattern]
 
 
@@ -174,8 +181,8 @@ _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 GROUP = 1 << 20
 
 
-def _code(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = tokenizer(path, pattern)
+def _code(path: str, pattern: str, remember: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = tokenizer(path, pattern, remember)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         start = 0
@@ -209,10 +216,10 @@ def token_ids(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_ids, path, pattern), "doc_id long, ids array<int>")
 
 
-def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. No shuffle."""
+def digests(documents: DataFrame, path: str, pattern: str, remember: int = KNOWN) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. No shuffle. remember: pieces that a worker keeps, some 140 bytes each."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_code, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_code, path, pattern, remember), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

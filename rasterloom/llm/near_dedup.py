@@ -40,7 +40,7 @@ BASE, RATE = 1.001, 20.0
 NUMERATOR, DENOMINATOR = 85, 100
 FLOOR = 0.75
 BLOCK = 128
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Classes (a doc_id and a hash each) that are broadcast to the texts; with more of them the texts are shuffled.
 BROADCAST_ROWS = 500_000
 

@@ -50,9 +50,11 @@ def test_both_ways_of_contracting_agree(bpe):
 
 
 def test_forgetting_changes_nothing(bpe, library, monkeypatch):
-    monkeypatch.setattr(B, "KNOWN", 3)
-    texts = ["one two three four", "five six seven", "one two"]
-    assert [list(bpe.encode([t]))[0] for t in texts] == [ids(library, t) for t in texts]
+    monkeypatch.setattr(bpe, "remember", 8)
+    texts = ["one two three four", "five six seven", "one two", "two eight nine", "", "one two three four five six seven eight nine ten", "two"]
+    for _ in range(3):
+        assert [list(bpe.encode([t]))[0] for t in texts] == [ids(library, t) for t in texts]
+        assert len(bpe.known) <= 12
 
 
 def test_decoding_in_parts(bpe, monkeypatch):
