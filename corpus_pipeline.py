@@ -18,7 +18,8 @@ from rasterloom.llm.exact_dedup import exact_groups
 from rasterloom.llm.near_dedup import near_groups
 from rasterloom.llm.toxicity import keep_clean, train
 
-
+#: Per cent of shared five-word shingles from which documents are near-duplicates; op3_near_dedup has its own.
+NEAR = 80
 #: Pieces that a worker keeps between batches.
 REMEMBERED = 240_000
 
@@ -46,8 +47,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
-    return _without(docs, near_groups(docs).where("NOT kept"))
+    """Keeps one document of each group of near-duplicates (a similarity of NEAR per cent or more), that with the smallest doc_id."""
+    return _without(docs, near_groups(docs, NEAR).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,16 +3,17 @@
 A document's set holds the distinct 5-word shingles of its whole text (A-Z lower-cased, words are runs of anything but space, tab
 to carriage return); a shorter text is one shingle, a text without words has the empty set and is linked with nothing.
 
-1. Each set gets REGISTERS registers: every shingle draws one value from each of REGISTERS exponentially spaced truncated intervals
+1. Each set gets registers: every shingle draws one value from each of as many exponentially spaced truncated intervals
    and deals them to the registers by its own permutation; a register keeps the minimum, stored as floor(1 - log_b x). Registers of a
    union are the elementwise maximum of the parts' registers, so they merge. Later intervals hold larger values only, so a set stops
    drawing once every register is filled.
-2. Documents with equal sets form one class, stood for by its smallest doc_id. BANDS bands of ROWS register values put classes in
-   buckets; at a similarity of 0.85 two classes miss each other in all bands with a chance of 1e-6.
+2. Documents with equal sets form one class, stood for by its smallest doc_id. Some bands of some register values each put classes in
+   buckets; at the threshold's similarity two classes miss each other in all bands with a chance of MISS. The threshold is 0.85
+   unless another is given; bands, rows, registers and floor follow from it (Plan).
 3. In a bucket of more than BLOCK classes each is first compared with the smallest. Those not linked to it are cut in blocks of about
    BLOCK, the others too, and each pair of blocks with one that isn't is a small group whatever the bucket's size; a smaller bucket
    is a group by itself. Inside a group, a pair is looked at in the first band in which it collides. The likelihood of the two registers' comparison,
-   with the set sizes known, has its maximum above FLOOR or the pair is dropped (5 standard deviations below the threshold); what
+   with the set sizes known, has its maximum above the plan's floor or the pair is dropped (5 standard deviations below the threshold); what
    remains is confirmed on the full sets. A group returns a spanning forest of its links, never its pairs.
 4. Links become components by alternating large-star and small-star.
 
@@ -25,6 +26,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +37,59 @@ from pyspark.sql import functions as F
 from .common import components, cut, small_batches
 
 SHINGLE = 5
-BANDS, ROWS = 44, 8
-REGISTERS = 353  # a prime, so that every stride visits all registers; the last one only takes part in the estimate
+MISS = 1e-6
+MAX_BANDS, MAX_ROWS = 64, 8  # a bucket's number ends in six bits of its band; a band is hashed as two words of four registers
 BASE, RATE = 1.001, 20.0
-NUMERATOR, DENOMINATOR = 85, 100
-FLOOR = 0.75
 BLOCK = 128
 PIECE = 1 << 18
 #: Classes (a doc_id and a hash each) that are broadcast to the texts; with more of them the texts are shuffled.
 BROADCAST_ROWS = 500_000
 
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from a threshold of per_cent: 44 bands of 8 of 353 registers at 85, 59 bands of 7 of 419 at 80."""
+
+    per_cent: int = 85
+
+    @cached_property
+    def _bands(self) -> tuple[int, int]:
+        for rows in range(MAX_ROWS, 0, -1):
+            bands = math.ceil(math.log(MISS) / math.log1p(-((self.per_cent / 100) ** rows)))
+            if bands <= MAX_BANDS:
+                return bands, rows
+        raise ValueError(f"no bands for a threshold of {self.per_cent} per cent")
+
+    @property
+    def bands(self) -> int:
+        return self._bands[0]
+
+    @property
+    def rows(self) -> int:
+        return self._bands[1]
+
+    @cached_property
+    def registers(self) -> int:
+        """A prime, so that every stride visits all registers; those beyond the bands only take part in the estimate."""
+        m = self.bands * self.rows + 1
+        while any(m % k == 0 for k in range(2, math.isqrt(m) + 1)):
+            m += 1
+        return m
+
+    @cached_property
+    def floor(self) -> float:
+        """5 standard deviations below the threshold."""
+        s = self.per_cent / 100
+        return math.floor(100 * (s - 5 * math.sqrt(s * (1 - s) / self.registers))) / 100
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        both = int((a[at] == b).sum())
+        return 100 * both >= self.per_cent * (len(a) + len(b) - both)
+
+
+PLAN = Plan()
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
@@ -137,9 +183,9 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
-def registers(items: np.ndarray) -> np.ndarray:
+def registers(items: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes (uint16, 0 only in the empty set's)."""
-    m = REGISTERS
+    m = plan.registers
     out = np.zeros(m, np.uint16)
     n = len(items)
     if not n:
@@ -162,13 +208,16 @@ def registers(items: np.ndarray) -> np.ndarray:
     return out
 
 
-_BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x589965CC75374CC3))
+_BAND_SALT = mix(np.arange(1, MAX_BANDS + 1, dtype=np.uint64) * np.uint64(0x589965CC75374CC3))
 
 
-def band_hashes(levels: np.ndarray) -> np.ndarray:
-    pair = np.ascontiguousarray(levels[: BANDS * ROWS]).view(np.uint64).reshape(BANDS, 2)
-    mixed = mix(mix(pair[:, 0] + _BAND_SALT) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15) + _BAND_SALT))
-    return ((mixed & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_hashes(levels: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
+    n = plan.bands
+    held = np.zeros((n, MAX_ROWS), np.uint16)
+    held[:, : plan.rows] = levels[: n * plan.rows].reshape(n, plan.rows)
+    pair, salt = held.view(np.uint64), _BAND_SALT[:n]
+    mixed = mix(mix(pair[:, 0] + salt) ^ (pair[:, 1] * np.uint64(0x9E3779B97F4A7C15) + salt))
+    return ((mixed & ~np.uint64(63)) | np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
 def set_key(items: np.ndarray) -> str | None:
@@ -179,19 +228,19 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_k
 _FULL = pa.schema([("rep", pa.int64()), ("items", pa.binary()), ("levels", pa.binary())])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, bands = [], [], []
         for items in shingle_sets(batch.column(1).to_pylist()):
             sizes.append(len(items))
             keys.append(set_key(items))
-            bands.append(band_hashes(registers(items)) if len(items) else np.empty(0, np.int64))
+            bands.append(band_hashes(registers(items, plan), plan) if len(items) else np.empty(0, np.int64))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_SKETCH)
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep, set and registers of those rows whose set is the class's (a repeated doc_id may come with other texts)."""
     for batch in batches:
         ids, sets, levels = [], [], []
@@ -199,16 +248,17 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if set_key(items) == key:
                 ids.append(rep)
                 sets.append(items.tobytes())
-                levels.append(registers(items).tobytes())
+                levels.append(registers(items, plan).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(levels, pa.binary())], schema=_FULL)
 
 
-def likely(higher: np.ndarray, lower: np.ndarray, size: int, sizes: np.ndarray, floor: float = FLOOR) -> np.ndarray:
-    """Whether the joint likelihood of a register comparison has its maximum at a similarity of floor or more.
+def likely(higher: np.ndarray, lower: np.ndarray, size: int, sizes: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
+    """Whether the joint likelihood of a register comparison has its maximum at a similarity of the plan's floor or more.
 
     higher, lower: registers of one set above and below the other's. The log-likelihood is concave, so the sign of its
     derivative at floor tells on which side the maximum lies.
     """
+    floor = plan.floor
     u = size / (size + sizes)
     v = 1 - u
     c = (BASE - 1) / BASE
@@ -216,20 +266,14 @@ def likely(higher: np.ndarray, lower: np.ndarray, size: int, sizes: np.ndarray,
     p, q = (-np.log1p(-c * z) / math.log(BASE) for z in (x, y))
     dp, dq = (v * c / (1 - c * x) / math.log(BASE), u * c / (1 - c * y) / math.log(BASE))
     with np.errstate(divide="ignore", invalid="ignore"):
-        slope = -higher * dp / p - lower * dq / q + (REGISTERS - higher - lower) * (dp + dq) / (1 - p - q)
+        slope = -higher * dp / p - lower * dq / q + (plan.registers - higher - lower) * (dp + dq) / (1 - p - q)
     return (x > 0) & (y > 0) & (slope >= 0)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    both = int((a[at] == b).sum())
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
-
-
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def forest(left: int, right: int, band: int, rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
+def forest(plan: Plan, left: int, right: int, band: int, rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
     """The links of one pair of blocks, less those that close a circle. rows: id, block, set and registers of each class."""
     rows = list({r[0]: r for r in rows}.values())
     ids = np.array([r[0] for r in rows])
@@ -237,7 +281,7 @@ def forest(left: int, right: int, band: int, rows: list[tuple[int, int, bytes, b
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     levels = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
     sizes = np.array([len(x) for x in sets], np.float64)
-    banded = levels[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
+    banded = levels[:, : plan.bands * plan.rows].reshape(len(ids), plan.bands, plan.rows)
     parent = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -252,26 +296,26 @@ def forest(left: int, right: int, band: int, rows: list[tuple[int, int, bytes, b
         if left == right:
             others = others[others > i]
         ratio = np.minimum(sizes[others], sizes[i]) / np.maximum(sizes[others], sizes[i])
-        others = others[ratio * DENOMINATOR >= NUMERATOR - 1e-9]
+        others = others[ratio * 100 >= plan.per_cent - 1e-9]
         if band and len(others):
             others = others[~(banded[others, :band] == banded[i, :band]).all(2).any(1)]
         if not len(others):
             continue
         higher, lower = (levels[i] > levels[others]).sum(1), (levels[i] < levels[others]).sum(1)
-        for j in others[likely(higher, lower, sizes[i], sizes[others])]:
+        for j in others[likely(higher, lower, sizes[i], sizes[others], plan)]:
             x, y = find(i), find(j)
-            if x != y and linked(sets[i], sets[j]):
+            if x != y and plan.linked(sets[i], sets[j]):
                 parent[y] = x
                 out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket, low and high; a group is held only while its rows come in."""
     key, band, rows = None, 0, []
 
     def told() -> pa.RecordBatch:
-        found = forest(key[1], key[2], band, rows) if len(rows) > 1 else []
+        found = forest(plan, key[1], key[2], band, rows) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_LINK)
 
     for batch in batches:
@@ -286,15 +330,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep and leader of the rows whose sets are linked."""
     for batch in batches:
         view = lambda column: [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-        told = [linked(a, b) for a, b in zip(view(batch.column(2)), view(batch.column(3)), strict=True)]
+        told = [plan.linked(a, b) for a, b in zip(view(batch.column(2)), view(batch.column(3)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(told)), batch.column(1).filter(pa.array(told))], schema=_LINK)
 
 
-def _large(placed: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large(placed: DataFrame, full: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """The blocks of large buckets, and links to their leaders.
 
     Every member is compared with the bucket's leader, its smallest id. Those that are linked to it are connected already, so only the
@@ -305,7 +349,7 @@ def _large(placed: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
     led = cut(placed.join(leaders, "bucket").select("rep", "bucket", "band", "leader"), "led")
     heads = full.select(F.col("rep").alias("leader"), F.col("items").alias("head"))
     pairs = led.where("rep <> leader").select("rep", "leader").distinct().join(full, "rep").join(heads, "leader")
-    stars = cut(pairs.select("rep", "leader", "items", "head").mapInArrow(_star, "a long, b long"), "stars")
+    stars = cut(pairs.select("rep", "leader", "items", "head").mapInArrow(partial(_star, plan), "a long, b long"), "stars")
     members = led.join(stars, (F.col("rep") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("rep", "bucket", "band", (F.col("a").isNotNull() | (F.col("rep") == F.col("leader"))).alias("like"))
     members = cut(members, "likes")
     counts = cut(members.groupBy("bucket").agg(F.sum(F.when(F.col("like"), 1).otherwise(0)).alias("n_like"), F.sum(F.when(F.col("like"), 0).otherwise(1)).alias("n_other")), "counts")
@@ -317,15 +361,16 @@ def _large(placed: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spread.select("rep", "bucket", "band", "block", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high")), stars
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def near_groups(documents: DataFrame, per_cent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; sets are linked from a similarity of per_cent.
 
     Sets and registers of the classes that share a bucket are the only large thing shuffled; texts are too, once, if such classes are
     too many to be broadcast.
     """
     small_batches(documents.sparkSession)
+    plan = Plan(per_cent)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key string, bands array<long>"), "sketches")
+    sketches = cut(texts.mapInArrow(partial(_sketch, plan), "doc_id long, n_shingles long, set_key string, bands array<long>"), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     heads = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
@@ -341,12 +386,12 @@ def near_groups(documents: DataFrame) -> DataFrame:
     wanted = cut(placed.select(F.col("rep").alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_key"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    full = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full, "rep long, items binary, levels binary"), "sets")
+    full = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "set_key").mapInArrow(partial(_full, plan), "rep long, items binary, levels binary"), "sets")
     small = placed.where(F.col("n") <= BLOCK).select("rep", "bucket", "band", *(F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")))
-    large, stars = _large(placed.where(F.col("n") > BLOCK), full)
+    large, stars = _large(placed.where(F.col("n") > BLOCK), full, plan)
     spread = small.unionByName(large).join(full, "rep")
     grouped = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(_links, "a long, b long").unionByName(stars)
+    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(partial(_links, plan), "a long, b long").unionByName(stars)
     found = components(links)
     roots = cut(classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id")), "roots")
     with_set = known.join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
