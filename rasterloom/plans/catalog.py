@@ -219,17 +219,16 @@ def encode_png(spark, sf_dir):
 
 def stream_encode(spark, sf_dir):
     """The raster's table as a stream of rows; what the stream wrote, in order."""
-    import tempfile
     import uuid
 
+    from ..session import shared_dir
     from ..streaming.encode import encode_stream
 
     spec = grey(spark, sf_dir)
     schema = table(spark, sf_dir, "embeddings").schema
     # a pattern, for a plain path would have to be a folder
     vectors = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    base = f"{shared}/rasterloom/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/rasterloom/stream-{uuid.uuid4().hex}"
     out = encode_stream(binary(quantised(vectors)), spec, S.EncodeOptions(S.WINDOW, streaming=True))
     out.writeStream.format("parquet").option("path", f"{base}/frames").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/frames").select("ordinal", "tag")

@@ -1,14 +1,17 @@
-"""What a session needs before Python code of this package runs on its executors."""
+"""What a session needs before Python code of this package runs on its executors, and the folder that they share with the driver."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -26,3 +29,29 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder, as all
+    its tasks run on this machine; any other master is refused one."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not given:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and executors of {context.master} don't share this machine's folders")
+        app = context.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="rasterloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        given = f"file://{_own[app]}"
+    return qualified(spark, given)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """With its scheme: Spark takes a bare path for one of its default store, others must be told."""
+    if "://" not in path:
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = f"file://{path[5:]}"
+    return path.rstrip("/")
