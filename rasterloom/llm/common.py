@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.session import ship_package
+from rasterloom.session import shared_dir, ship_package
 
-#: Rows in an Arrow batch. Texts may be long, so a batch stays small whatever the session's default is.
-ARROW_ROWS = 256
+#: Bytes in an Arrow batch (a longer row is a batch of its own); a lower setting of the session stays.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,40 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds in a Python worker, and makes sure that workers can import this package."""
+    """Makes sure that workers can import this package, and bounds what one Arrow batch holds in a Python worker. Rows may be of any
+    length, so the bound is one of bytes; it is read when a plan runs, so the session's setting has to stay lowered."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key, "0").rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
-_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="rasterloom-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        given = f"file://{_own[app]}"
-    return qualified(spark, given)
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """With its scheme: Spark takes a bare path for one of its default store, others must be told."""
-    if "://" not in path:
-        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
-        if path.startswith("file:/") and not path.startswith("file://"):
-            path = f"file://{path[5:]}"
-    return path.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. What is there when this process ends goes with it."""
-    path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under the application's name. What is there when this process ends goes with it; what a killed
+    driver leaves is that application's folder."""
+    path = f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
@@ -74,7 +54,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once everything that reads them has been written itself."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
+        _written[:] = [w for w in _written if w[1] != t.scratch_path]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -90,7 +79,6 @@ def components(edges: DataFrame) -> DataFrame:
     gathered neighbour list, so a node with very many edges is pre-aggregated and its join can be split. Every round is written to
     the shared folder; only two sums reach the driver.
     """
-    spark = edges.sparkSession
     label = "components"
 
     def star(e: DataFrame) -> DataFrame:
@@ -102,7 +90,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: smaller neighbours and the centre itself move to the minimum
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")), label)
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        after = cut(moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), label)
+        release(least, large, low, e)
+        return after
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -110,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("a", "b").where("a <> b").distinct(), label)
     seen = mark(now)
     while seen[0]:
-        now = cut(star(now), label)
+        now = star(now)
         after = mark(now)
         if after == seen:
             break
