@@ -24,7 +24,7 @@ def small_batches(spark: SparkSession) -> None:
     length, so the bound is one of bytes; it is read when a plan runs, so the session's setting has to stay lowered."""
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key, "0").rstrip("b")) <= ARROW_BYTES:
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
