@@ -66,6 +66,11 @@ def release(*tables: DataFrame) -> None:
         _written[:] = [w for w in _written if w[1] != t.scratch_path]
 
 
+def bounded(written: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; beyond that the join that reads it shuffles."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

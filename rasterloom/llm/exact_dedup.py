@@ -7,8 +7,8 @@ length agree are compared chunk by chunk before they count as equal; a text that
 
 Texts are equal when identical after replacing each run of white space (space, tab to carriage return) by one space.
 Null texts count as empty. Rows that repeat a doc_id are judged one by one: each carries the same keep_id, and kept tells whether
-its doc_id is the one that stays. A null doc_id never stays before one that isn't null. Extra columns are ignored; an empty table
-gives an empty result.
+its doc_id is the one that stays. A null doc_id never stays before one that isn't null; its rows are compared like all others. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import bounded, cut, release, small_batches
 
 CHUNK = 4096
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515261, 1597334677)
 #: Code points that a comparison holds of each text at once.
 COMPARE = 1 << 16
+#: Marks, of some 60 bytes each, that are broadcast to the rows they belong to; with more of them both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 _RUN = re.compile(r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -102,64 +104,78 @@ def same(a: str | None, b: str | None) -> bool:
             return True
 
 
-_MARKS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
-_SAME = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("same", pa.bool_())])
+_MARKS = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
+_SAME = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("text_sha256", pa.string())])
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps, lengths, shas = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             data = normalise(text.as_py()).encode("utf-8", "surrogatepass")
             a, b = fingerprint(data)
             fps.append(a << 31 | b)
             lengths.append(len(data))
             shas.append(hashlib.sha256(data).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(lengths, pa.int64()), pa.array(shas, pa.string())], schema=_MARKS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(lengths, pa.int64()), pa.array(shas, pa.string())], schema=_MARKS)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text isn't the head's."""
     for batch in batches:
-        told = [same(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.bool_())], schema=_SAME)
+        told = pa.array([not same(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(4), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(told) for k in range(3)], schema=_SAME)
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    """doc_id, raw, text. What names a row is its doc_id and a hash of its text as it is, for a doc_id may be null or come with several texts."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.octet_length("text"), "text").alias("raw"), "text")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp, n_bytes, text_sha256 of every row."""
+    """doc_id, raw, fp, n_bytes, text_sha256 of every row."""
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mark, "doc_id long, fp long, n_bytes long, text_sha256 string")
+    return _named(documents).mapInArrow(_mark, "doc_id long, raw long, fp long, n_bytes long, text_sha256 string")
 
 
 def exact_groups(documents: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row; see the module's docstring for null, empty and repeated rows.
+    """doc_id, keep_id, group_size, kept, text_sha256, raw of every row; see the module's docstring for null, empty and repeated rows.
 
-    Shuffles: 24-byte marks by fingerprint, and the texts by doc_id once, from which members and survivors are both read. A hot
-    group meets its survivor in a plain equi-join, which adaptive execution splits; counts are pre-aggregated.
+    Shuffles: the marks by fingerprint, partly aggregated, and the texts of those rows whose fingerprint isn't alone. A row without a
+    partner never leaves its task unless such rows are more than BROADCAST_ROWS. A hot group meets its head in a plain equi-join of
+    written tables, which adaptive execution splits.
     """
     marks = cut(fingerprints(documents), "marks")
     by = ["fp", "n_bytes"]
-    # written before it is joined, so that its side of the join has an exchange of its own and a hot group's rows can be split
-    first = cut(marks.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    members = marks.join(first, by).select("doc_id", "first_id", "text_sha256")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
-    others = members.where("doc_id <> first_id").distinct()
-    # the survivors' own rows carry the hash that a repeated doc_id with other texts is told apart by
-    theirs = texts.join(others, texts["id"] == others["doc_id"]).select("doc_id", "first_id", "text_sha256", F.col("body").alias("text"))
-    heads = cut(texts.join(members.select("first_id").distinct(), F.col("id") == F.col("first_id")).select(F.col("id").alias("head_id"), F.col("body").alias("head")), "heads")
-    pairs = theirs.join(heads, theirs["first_id"] == heads["head_id"]).select("doc_id", "text_sha256", "text", "head")
-    told = pairs.mapInArrow(_compare, "doc_id long, text_sha256 string, same boolean").where("same").select("doc_id", "text_sha256").distinct()
-    # a row is in its fingerprint's group if it is the head or was found the same; anything else falls back to its hash
-    odd = cut(others.select("doc_id", "text_sha256").join(told, ["doc_id", "text_sha256"], "left_anti"), "odd")
-    keyed = marks.join(odd.withColumn("odd", F.lit(True)), ["doc_id", "text_sha256"], "left").withColumn("own", F.when(F.col("odd"), F.col("text_sha256")).otherwise(""))
+    # of each group with more than one row, the row that the others are compared with
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw")).alias("first")
+    groups = cut(marks.groupBy(*by).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, "first.doc_id", "first.raw").toDF(*by, "head_id", "head_raw"), "groups")
+    members = cut(marks.join(bounded(groups, BROADCAST_ROWS), by), "members")
+    is_head = F.expr("doc_id <=> head_id AND raw = head_raw")
+    wanted = cut(members.select(F.col("doc_id").alias("id"), F.col("raw").alias("id_raw"), *by, "text_sha256", is_head.alias("is_head")).distinct(), "wanted")
+    texts, named = _named(documents), bounded(wanted, BROADCAST_ROWS)
+    bodies = cut(texts.join(named, texts["doc_id"].eqNullSafe(named["id"]) & (texts["raw"] == named["id_raw"])).select("doc_id", "raw", *by, "text_sha256", "is_head", "text"), "bodies")
+    # a row that comes several times is compared as often; its head's text comes once
+    heads = cut(bodies.where("is_head").dropDuplicates(by).select(*by, F.col("text").alias("head")), "heads")
+    pairs = bodies.where("NOT is_head").join(heads, by).select("doc_id", "raw", "text_sha256", "text", "head")
+    # texts that differ in spite of their fingerprints are grouped by their hash
+    odd = cut(pairs.mapInArrow(_differ, "doc_id long, raw long, text_sha256 string").distinct().select(F.col("doc_id").alias("odd_id"), F.col("raw").alias("odd_raw"), F.col("text_sha256").alias("own")), "odd")
+    release(wanted, bodies, heads, groups)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]) & (rows["raw"] == odd["odd_raw"]), "left").withColumn("own", F.coalesce("own", F.lit("")))
+
     key = [*by, "own"]
-    sizes = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "sizes")
-    return keyed.join(sizes, key).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    sizes = cut(keyed(members).groupBy(*key).agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")), "sizes")
+    release(members)
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))
+    return keyed(marks).join(bounded(sizes, BROADCAST_ROWS), key, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256", "raw")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("raw")
 
 
 ORACLE = r"""

@@ -41,7 +41,7 @@ def expected(rows):
 
 
 def test_edges(edges, empty):
-    assert sorted(map(tuple, E.exact_groups(edges).collect()), key=repr) == expected(EDGES)
+    assert sorted(map(tuple, E.exact_groups(edges).drop("raw").collect()), key=repr) == expected(EDGES)
     assert E.exact_groups(empty).collect() == []
 
 
@@ -49,10 +49,22 @@ def test_colliding_fingerprints_are_told_apart(edges, monkeypatch):
     """All texts get one fingerprint; the comparison must still find the groups."""
     real = E.fingerprints
     monkeypatch.setattr(E, "fingerprints", lambda d: real(d).withColumn("fp", F.lit(1).cast("long")).withColumn("n_bytes", F.lit(1).cast("long")))
-    rows = [r for r in EDGES if r[0] not in (None, 7)]
-    got = E.exact_groups(edges.where("doc_id IS NOT NULL AND doc_id <> 7"))
+    assert sorted(map(tuple, E.exact_groups(edges).drop("raw").collect()), key=repr) == expected(EDGES)
+
+
+def test_rows_without_an_id_are_compared(spark, monkeypatch):
+    real = E.fingerprints
+    monkeypatch.setattr(E, "fingerprints", lambda d: real(d).withColumn("fp", F.lit(1).cast("long")).withColumn("n_bytes", F.lit(1).cast("long")))
+    rows = [(None, "a b"), (None, "a  b"), (None, "c"), (3, "c"), (3, "d"), (3, "d")]
+    got = E.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("raw")
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
 
 
+def test_shuffled_joins_give_the_same(edges, monkeypatch):
+    """As with more groups than may be broadcast."""
+    monkeypatch.setattr(E, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, E.exact_groups(edges).drop("raw").collect()), key=repr) == expected(EDGES)
+
+
 def test_query(same_as_sql):
     same_as_sql("op8_exact_dedup")
