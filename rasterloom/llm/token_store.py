@@ -1,18 +1,22 @@
 """Token-id output: raw id shards with a minimal perfect hash index.
 
-Documents are dealt to shards by ranges of doc_id, so shard after shard holds the ids in ascending doc_id order. A shard file is
+Documents are dealt to tasks by ranges of doc_id, and a task starts another shard once one holds SHARD_BYTES of ids or SHARD_DOCS
+documents, so shard after shard holds the ids in ascending doc_id order and no shard grows with the corpus. A shard file is
 
     ids | doc_id of each document (i64, then its occurrence number as u32 and a null flag as u8) | hash levels | slot table |
     u64 position of the keys, levels and slots | 8 bytes magic, u32 bytes an id, u32 reserved, u64 documents, u64 ids
 
 The hash is a cascade of bit arrays: a key that lands alone in a level's array owns its bit, the others go on to the next level; the
-rank of a bit among all levels is the key's slot, so n keys fill slots 0 to n - 1 and a lookup takes the same few probes at any
-size. A slot holds the document's offset and count and a 32-bit fingerprint of its key, which turns foreign keys away. The shard of
-a key comes from the shards' first keys (a table of one row for each shard).
+rank of a bit among all levels is the key's slot, so n keys fill slots 0 to n - 1. Ranks are stored for every BLOCK bits, so a lookup
+counts the bits of one block at most and takes the same few probes at any size. A slot holds the document's offset and count and a
+32-bit fingerprint of its key, which turns foreign keys away. The shard of a key comes from the shards' first keys (the route, one row
+for each shard). Files are mapped where they are local; on any other store, ids are read by ranges.
 
 Each task streams its documents to a file of its own attempt and renames it when it is whole, unless another attempt was first: both
-hold the same bytes. Null text counts as empty and still gets the end id. Rows that repeat a doc_id keep an occurrence number, in order of their
-text; rows with a null doc_id come first. Extra columns are ignored; an empty table gives no shards and an empty result.
+hold the same bytes. Null text counts as empty and still gets the end id. Rows that repeat a doc_id keep an occurrence number, counted
+in each shard from the first of them there (the route tells how many are in shards before); they may be spread over tasks, in order of
+their texts' hashes. Rows with a null doc_id come first. Strings of special tokens in a text become those tokens, as the library does by
+default, unless special_as_text is set. Extra columns are ignored; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, small_batches
+from .common import cut, release, scratch, small_batches
 from .near_dedup import mix
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,8 +48,14 @@ END = 2
 MAGIC = b"RLTOKID1"
 HEADER = struct.Struct("<8sIIQQ")
 FOOTER = struct.Struct("<QQQ")
+#: Bytes of ids and documents from which a shard is full, and bytes of text for each task.
+SHARD_BYTES, SHARD_DOCS, TASK_BYTES = 128 << 20, 1 << 20, 256 << 20
 GAMMA = 2
 LEVELS = 24
+#: Bits between stored ranks.
+BLOCK = 512
+#: Bytes that are read at once where a file can't be mapped.
+AHEAD = 4 << 20
 #: Words whose ids a worker remembers, and the longest of them; some 250 bytes each.
 KNOWN, KEPT = 1_300_000, 48
 _KEY = np.dtype([("doc_id", "<i8"), ("occurrence", "<u4"), ("null", "u1")])
@@ -60,56 +71,81 @@ def _at(hashes: np.ndarray, level: int, bits: int) -> np.ndarray:
     return (mix(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(bits)).astype(np.int64)
 
 
+@dataclass
+class Level:
+    """A bit array in 64-bit words, and the number of bits before each block, those of earlier levels among them."""
+
+    words: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, bits: np.ndarray, base: int) -> Level:
+        words = np.packbits(bits, bitorder="little").view("<u8")
+        counts = np.bitwise_count(words.reshape(-1, BLOCK // 64)).sum(1, dtype=np.uint64)
+        return cls(words, np.cumsum(counts, dtype=np.uint64) - counts + np.uint64(base))
+
+    def slots(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each bit is set, and how many are set before it."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        own = self.words[word]
+        rank = self.ranks[at // BLOCK] + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+        first = at // BLOCK * (BLOCK // 64)
+        for k in range(BLOCK // 64 - 1):
+            rank += np.where(first + k < word, np.bitwise_count(self.words[first + k]), 0).astype(np.uint64)
+        return (own >> bit & np.uint64(1)).astype(bool), rank.astype(np.int64)
+
+
 @dataclass
 class PerfectHash:
-    """levels: bit arrays; left: the hashes that no level could place, sorted, which get the last slots."""
+    """left: the hashes that no level could place, sorted, which get the last slots."""
 
-    levels: list[np.ndarray]
+    levels: list[Level]
     left: np.ndarray
+    placed: int
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
-        levels = []
+        levels, placed = [], 0
         while len(hashes) and len(levels) < LEVELS:
-            bits = -(-max(64, GAMMA * len(hashes)) // 64) * 64
+            bits = -(-max(BLOCK, GAMMA * len(hashes)) // BLOCK) * BLOCK
             at = _at(hashes, len(levels), bits)
             alone = np.bincount(at, minlength=bits) == 1
-            levels.append(alone)
+            levels.append(Level.of(alone, placed))
+            placed += int(alone.sum())
             hashes = hashes[~alone[at]]
-        return cls(levels, np.sort(hashes))
+        return cls(levels, np.sort(hashes), placed)
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each key; of a foreign key any slot, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         open_ = np.arange(len(hashes))
-        base = 0
-        for k, bits in enumerate(self.levels):
-            at = _at(hashes[open_], k, len(bits))
-            hit = bits[at]
-            rank = np.cumsum(bits)
-            out[open_[hit]] = base + rank[at[hit]] - 1
-            base += int(rank[-1])
+        for k, level in enumerate(self.levels):
+            hit, slot = level.slots(_at(hashes[open_], k, 64 * len(level.words)))
+            out[open_[hit]] = slot[hit]
             open_ = open_[~hit]
-        if len(open_) and len(self.left):
+            if not len(open_):
+                return out
+        if len(self.left):
             at = np.minimum(np.searchsorted(self.left, hashes[open_]), len(self.left) - 1)
             hit = self.left[at] == hashes[open_]
-            out[open_[hit]] = base + at[hit]
+            out[open_[hit]] = self.placed + at[hit]
         return out
 
     def dump(self) -> bytes:
-        parts = [struct.pack("<II", len(self.levels), len(self.left))]
-        parts += [struct.pack("<Q", len(b)) + np.packbits(b).tobytes() for b in self.levels]
+        parts = [struct.pack("<IIQ", len(self.levels), len(self.left), self.placed)]
+        parts += [struct.pack("<Q", len(x.words)) + x.words.tobytes() + x.ranks.astype("<u8").tobytes() for x in self.levels]
         return b"".join([*parts, self.left.astype("<u8").tobytes()])
 
     @classmethod
     def load(cls, data: memoryview) -> PerfectHash:
-        n, left = struct.unpack_from("<II", data)
-        at, levels = 8, []
+        n, left, placed = struct.unpack_from("<IIQ", data)
+        at, levels = 16, []
         for _ in range(n):
-            (bits,) = struct.unpack_from("<Q", data, at)
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, bits // 8, at + 8)).astype(bool))
-            at += 8 + bits // 8
-        return cls(levels, np.frombuffer(data, "<u8", left, at))
+            (words,) = struct.unpack_from("<Q", data, at)
+            blocks = words * 64 // BLOCK
+            levels.append(Level(np.frombuffer(data, "<u8", words, at + 8), np.frombuffer(data, "<u8", blocks, at + 8 + 8 * words)))
+            at += 8 + 8 * (words + blocks)
+        return cls(levels, np.frombuffer(data, "<u8", left, at), placed)
 
 
 #: White space to Python, but not to the tokenizer: a text with such is only cut at what both take for it.
@@ -154,14 +190,16 @@ class _Known(dict):
 
 
 class Words:
-    """Ids of a text by those of its words. The tokenizer drops white space and never looks across it, so a word's ids don't depend on its neighbours."""
+    """Ids of a text by those of its words. The tokenizer drops white space and never looks across it, so a word's ids don't depend on its
+    neighbours. A text that holds the string of an added token is left to the tokenizer as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
@@ -174,92 +212,137 @@ class Words:
             ids = [t.id for t in self.model.tokenize(piece)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self._packed(ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         known, end = self.known, np.array([END], self.kind).tobytes()
         for text in texts:
             if len(known) > KNOWN:
                 known.clear()
-            yield b"".join(map(known.__getitem__, cut_words(text))) + end if text else end
+            if not text:
+                yield end
+            elif any(t in text for t in self.added):
+                yield self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
+            else:
+                yield b"".join(map(known.__getitem__, cut_words(text))) + end
+
+
+_open: dict[tuple[str, bool], Words] = {}
+
 
+def _words(path: str, special_as_text: bool = False) -> Words:
+    if (path, special_as_text) not in _open:
+        _open[path, special_as_text] = Words(path, special_as_text)
+    return _open[path, special_as_text]
 
-_open: dict[str, Words] = {}
 
+_SHARD = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_null", pa.int32()), ("first_id", pa.int64()), ("last_null", pa.int32()), ("last_id", pa.int64()), ("n_last", pa.int64())])
 
-def _words(path: str) -> Words:
-    if path not in _open:
-        _open[path] = Words(path)
-    return _open[path]
 
+class _Writer:
+    """One shard on its way: ids go straight to the file, keys and counts wait for its end."""
 
-_SHARD = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_null", pa.int32()), ("first_id", pa.int64())])
+    def __init__(self, words: Words, folder: str, name: str):
+        self.words, self.uri = words, f"{folder}/{name}"
+        self.store, base = fs.FileSystem.from_uri(folder)
+        self.temporary, self.final = f"{base}/.attempt-{uuid.uuid4().hex}", f"{base}/{name}"
+        self.store.create_dir(base, recursive=True)
+        self.out = self.store.open_output_stream(self.temporary)
+        self.ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.size = 0
 
+    def add(self, doc_id: int | None, coded: bytes) -> None:
+        self.out.write(coded)
+        self.ids.append(doc_id)
+        self.counts.append(len(coded) // self.words.width)
+        self.size += len(coded)
 
-def _write(tokenizer_path: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _words(tokenizer_path)
-    shard = TaskContext.get().partitionId()
-    store, base = fs.FileSystem.from_uri(folder)
-    out, temporary, final = None, f"{base}/.attempt-{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.ids"
-    ids, flags, counts = [], [], []
+    def full(self) -> bool:
+        return self.size >= SHARD_BYTES or len(self.ids) >= SHARD_DOCS
+
+    def close(self) -> dict:
+        keys = np.zeros(len(self.ids), _KEY)
+        keys["doc_id"], keys["null"] = [x or 0 for x in self.ids], [x is None for x in self.ids]
+        # equal keys stand together: the occurrence number is the distance from the first of them
+        new = np.concatenate(([True], (keys["doc_id"][1:] != keys["doc_id"][:-1]) | (keys["null"][1:] != keys["null"][:-1])))
+        place = np.arange(len(keys))
+        keys["occurrence"] = place - np.maximum.accumulate(np.where(new, place, 0))
+        hashes = key_hashes(keys)
+        perfect = PerfectHash.build(hashes)
+        slots = np.zeros(len(keys), _SLOT)
+        at = perfect.slots(hashes)
+        n = np.array(self.counts, np.uint64)
+        slots["offset"][at], slots["count"][at], slots["fingerprint"][at] = np.cumsum(n) - n, n, (mix(hashes) >> np.uint64(32)).astype(np.uint32)
+        places, position = [], self.size
+        for part in (keys.tobytes(), perfect.dump(), slots.tobytes()):
+            places.append(position)
+            self.out.write(part)
+            position += len(part)
+        self.out.write(FOOTER.pack(*places))
+        self.out.write(HEADER.pack(MAGIC, self.words.width, 0, len(keys), int(n.sum())))
+        self.out.close()
+        if self.store.get_file_info(self.final).type == fs.FileType.NotFound:
+            self.store.move(self.temporary, self.final)
+        else:
+            self.store.delete_file(self.temporary)
+        first, last = keys[0], keys[-1]
+        ends = {"first_null": int(not first["null"]), "first_id": int(first["doc_id"]), "last_null": int(not last["null"]), "last_id": int(last["doc_id"])}
+        return {"path": self.uri, "n_docs": len(keys), "n_ids": int(n.sum()), "n_last": int(last["occurrence"]) + 1, **ends}
+
+
+def _write(tokenizer_path: str, special_as_text: bool, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _words(tokenizer_path, special_as_text)
+    part, shard, held = TaskContext.get().partitionId(), 0, None
     for batch in batches:
-        if not len(batch):
-            continue
-        if out is None:
-            store.create_dir(base, recursive=True)
-            out = store.open_output_stream(temporary)
-        ids += [x or 0 for x in batch.column(0).to_pylist()]
-        flags += [x is None for x in batch.column(0).to_pylist()]
-        for coded in words.encode(batch.column(1).to_pylist()):
-            out.write(coded)
-            counts.append(len(coded) // words.width)
-    if out is None:
-        return
-    keys = np.zeros(len(ids), _KEY)
-    keys["doc_id"], keys["null"] = ids, flags
-    # equal keys stand together: the occurrence number is the distance from the first of them
-    new = np.concatenate(([True], (keys["doc_id"][1:] != keys["doc_id"][:-1]) | (keys["null"][1:] != keys["null"][:-1])))
-    place = np.arange(len(ids))
-    keys["occurrence"] = place - np.maximum.accumulate(np.where(new, place, 0))
-    hashes = key_hashes(keys)
-    perfect = PerfectHash.build(hashes)
-    slots = np.zeros(len(ids), _SLOT)
-    at = perfect.slots(hashes)
-    n = np.array(counts, np.uint64)
-    slots["offset"][at], slots["count"][at], slots["fingerprint"][at] = np.cumsum(n) - n, n, (mix(hashes) >> np.uint64(32)).astype(np.uint32)
-    total = int(n.sum())
-    places, position = [], total * words.width
-    for part in (keys.tobytes(), perfect.dump(), slots.tobytes()):
-        places.append(position)
-        out.write(part)
-        position += len(part)
-    out.write(FOOTER.pack(*places))
-    out.write(HEADER.pack(MAGIC, words.width, 0, len(ids), total))
-    out.close()
-    if store.get_file_info(final).type == fs.FileType.NotFound:
-        store.move(temporary, final)
-    else:
-        store.delete_file(temporary)
-    yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/shard-{shard:06d}.ids", "n_docs": len(ids), "n_ids": total, "first_null": int(not flags[0]), "first_id": ids[0]}], schema=_SHARD)
+        for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
+            held = held or _Writer(words, folder, f"shard-{part:06d}-{shard:05d}.ids")
+            held.add(doc_id, coded)
+            if held.full():
+                yield pa.RecordBatch.from_pylist([{"part": part, "shard": shard, **held.close()}], schema=_SHARD)
+                shard, held = shard + 1, None
+    if held:
+        yield pa.RecordBatch.from_pylist([{"part": part, "shard": shard, **held.close()}], schema=_SHARD)
 
 
 class Shard:
-    """A shard file, mapped where the store allows it."""
+    """A shard file, mapped where the store allows it. Elsewhere its index is read, which SHARD_DOCS bounds, and ids as they are asked for."""
 
     def __init__(self, path: str):
         store, name = fs.FileSystem.from_uri(path)
         if isinstance(store, fs.LocalFileSystem):
-            self.data = memoryview(np.memmap(name, np.uint8, "r"))
+            self.data, self.size = memoryview(np.memmap(name, np.uint8, "r")), None
         else:
-            with store.open_input_file(name) as f:
-                self.data = memoryview(f.read())
-        magic, self.width, _, self.n_docs, self.n_ids = HEADER.unpack(self.data[-HEADER.size :])
+            self.file = store.open_input_file(name)
+            self.data, self.size = None, self.file.size()
+        end = self.size if self.data is None else len(self.data)
+        self.held: tuple[int, memoryview] = (0, memoryview(b""))
+        tail = self.span(end - HEADER.size - FOOTER.size, HEADER.size + FOOTER.size)
+        magic, self.width, _, self.n_docs, self.n_ids = HEADER.unpack(tail[FOOTER.size :])
         if magic != MAGIC:
             raise ValueError(f"{path} isn't a shard of token ids")
-        keys, levels, slots = FOOTER.unpack(self.data[-HEADER.size - FOOTER.size : -HEADER.size])
-        self.keys = np.frombuffer(self.data, _KEY, self.n_docs, keys)
-        self.hash = PerfectHash.load(self.data[levels:slots])
-        self.slots = np.frombuffer(self.data, _SLOT, self.n_docs, slots)
+        self.key_place, levels, slots = FOOTER.unpack(tail[: FOOTER.size])
+        self.hash = PerfectHash.load(self.span(levels, slots - levels))
+        self.slots = np.frombuffer(self.span(slots, self.n_docs * _SLOT.itemsize), _SLOT)
+
+    def span(self, start: int, size: int, ahead: int = 0) -> memoryview:
+        """Bytes of the file; ahead: how many may be read at once, for what follows."""
+        if self.data is not None:
+            return self.data[start : start + size]
+        at, held = self.held
+        if start < at or start + size > at + len(held):
+            at, held = start, memoryview(self.file.read_at(min(max(size, ahead), self.size - start), start))
+            if ahead:
+                self.held = at, held
+        return held[start - at : start - at + size]
+
+    def keys(self, start: int, count: int) -> np.ndarray:
+        """Keys by place in the file."""
+        count = min(count, self.n_docs - start)
+        return np.frombuffer(self.span(self.key_place + start * _KEY.itemsize, count * _KEY.itemsize), _KEY)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each key is there, the offset of its first id and its number of ids."""
@@ -269,30 +352,41 @@ class Shard:
         there = (at >= 0) & (slot["fingerprint"] == (mix(hashes) >> np.uint64(32)).astype(np.uint32))
         return there, slot["offset"].astype(np.int64), slot["count"].astype(np.int64)
 
-    def ids(self, offset: int, count: int) -> np.ndarray:
-        return np.frombuffer(self.data, f"<u{self.width}", count, offset * self.width)
+    def ids(self, offset: int, count: int, ahead: int = 0) -> np.ndarray:
+        return np.frombuffer(self.span(offset * self.width, count * self.width, ahead), f"<u{self.width}")
+
+
+@dataclass(frozen=True)
+class Route:
+    """A shard: its first key (null ids have known = 0 and come first), how many rows of that id are in shards before, and how many ids."""
+
+    path: str
+    known: int
+    first_id: int
+    occurrences: int
+    ids: int
 
 
 class TokenStore:
-    """Keyed access to the shards; route has path, first key and the number of ids before it, in order."""
+    """Keyed access to the shards, in order."""
 
-    def __init__(self, route: list[tuple[str, int, int, int]]):
+    def __init__(self, route: list[Route]):
         self.route = route
-        self.first = np.array([(a, b) for _, a, b, _ in route], np.int64).reshape(-1, 2)
+        self.first = [(r.known, r.first_id, r.occurrences) for r in route]
         self._shards: dict[int, Shard] = {}
 
-    def get(self, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
+    def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         """The ids of a document with its end id, or None."""
-        known = np.flatnonzero(self.first[:, 0] == 1)
-        at = int(np.searchsorted(self.first[known, 1], doc_id, side="right")) - 1
-        k = int(known[at]) if at >= 0 else int(known[0]) - 1 if len(known) else len(self.route) - 1
+        known = int(doc_id is not None)
+        k = bisect_right(self.first, (known, doc_id or 0, occurrence)) - 1
         if k < 0:
             return None
         if k not in self._shards:
-            self._shards[k] = Shard(self.route[k][0])
-        shard = self._shards[k]
+            self._shards[k] = Shard(self.route[k].path)
+        shard, at = self._shards[k], self.route[k]
         key = np.zeros(1, _KEY)
-        key["doc_id"], key["occurrence"] = doc_id, occurrence
+        key["doc_id"], key["null"] = doc_id or 0, not known
+        key["occurrence"] = occurrence - (at.occurrences if (at.known, at.first_id) == (known, doc_id or 0) else 0)
         there, offset, count = shard.find(key)
         return shard.ids(int(offset[0]), int(count[0])) if there[0] else None
 
@@ -300,43 +394,55 @@ class TokenStore:
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_store(documents: DataFrame, tokenizer_path: str, folder: str) -> list[tuple[str, int, int, int]]:
+def routed(rows: list) -> list[Route]:
+    """From what the tasks told of their shards, in order."""
+    out, ids, last, same = [], 0, None, 0
+    for r in sorted(rows, key=lambda r: (r["part"], r["shard"])):
+        first = (r["first_null"], r["first_id"])
+        before = same if first == last else 0
+        out.append(Route(r["path"], *first, before, ids))
+        ids, last = ids + r["n_ids"], (r["last_null"], r["last_id"])
+        same = r["n_last"] + (before if first == last else 0)
+    return out
+
+
+def write_store(documents: DataFrame, tokenizer_path: str, folder: str, special_as_text: bool = False) -> list[Route]:
     """Writes the shards and returns their route: one row for each shard, which is all that reaches the driver.
 
-    Texts are shuffled once, by range of doc_id; the ids are never shuffled.
+    Texts are shuffled once, by range of doc_id (rows with one doc_id by their hash), to as many tasks as the session has shuffle
+    partitions, or more if a task got more than TASK_BYTES of text; the ids are never shuffled.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = documents.agg(F.sum(F.octet_length("text").cast("long")).alias("size")).first()["size"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    dealt = named.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    schema = "part long, shard long, path string, n_docs long, n_ids long, first_null int, first_id long, last_null int, last_id long, n_last long"
     # written, so that the shards are made once
-    told = cut(dealt.mapInArrow(partial(_write, tokenizer_path, folder), "shard long, path string, n_docs long, n_ids long, first_null int, first_id long"), "shards")
-    route, before = [], 0
-    for r in sorted(told.collect(), key=lambda r: r["shard"]):
-        route.append((r["path"], r["first_null"], r["first_id"], before))
-        before += r["n_ids"]
-    return route
+    told = cut(dealt.mapInArrow(partial(_write, tokenizer_path, special_as_text, folder), schema), "shards")
+    out = routed(told.collect())
+    release(told)
+    return out
 
 
-def _read(route: list[tuple[str, int, int, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in batch.column(0).to_pylist():
-            shard = Shard(route[k][0])
+        for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shard = Shard(path)
             for at in range(0, shard.n_docs, 8192):
-                keys = shard.keys[at : at + 8192]
+                keys = shard.keys(at, 8192)
                 there, offset, count = shard.find(keys)
                 if not there.all():
-                    raise ValueError(f"{route[k][0]}: the index lacks keys")
-                crc = [zlib.crc32(shard.ids(o, n).astype("<u4").tobytes()) for o, n in zip(offset.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys["doc_id"], pa.int64(), mask=keys["null"].astype(bool)), pa.array(offset + route[k][3]), pa.array(count), pa.array(crc, pa.int64())], schema=_READ)
+                    raise ValueError(f"{path}: the index lacks keys")
+                crc = [zlib.crc32(shard.ids(o, n, AHEAD).astype("<u4").tobytes()) for o, n in zip(offset.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys["doc_id"], pa.int64(), mask=keys["null"].astype(bool)), pa.array(offset + before), pa.array(count), pa.array(crc, pa.int64())], schema=_READ)
 
 
-def read_store(spark, route: list[tuple[str, int, int, int]]) -> DataFrame:
+def read_store(spark, route: list[Route]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, each looked up by its key."""
     small_batches(spark)
-
-    n = len(route)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(partial(_read, route), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.createDataFrame([(r.path, r.ids) for r in route], "path string, before long").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_store(spark, sf_dir: str) -> DataFrame:

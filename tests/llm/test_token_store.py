@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,6 @@ PATH = public_tokenizers.path(S.VOCABULARY)
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, S.END]
 
 
@@ -45,6 +45,36 @@ def test_words_encode_as_whole_texts(text):
     assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == want
 
 
+SPECIAL = ("abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|>b.", "X <|ENDOFTEXT|> <|startoftext|>'s", "x<|endoftext|<|endoftext|>", LONG + "<|endoftext|> end")
+
+
+def test_special_tokens_as_the_library_takes_them():
+    words, library = S._words(PATH), Tokenizer.from_file(PATH)
+    for text in SPECIAL:
+        assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, S.END]
+    assert 49407 in np.frombuffer(next(words.encode([SPECIAL[0]])), words.kind)
+    # with the option, their strings are ordinary text
+    words, library.encode_special_tokens = S._words(PATH, True), True
+    for text in SPECIAL:
+        assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, S.END]
+
+
+def test_a_lookup_takes_as_long_at_any_size():
+    import time
+
+    def least(n):
+        h = S.mix(np.arange(n, dtype=np.uint64))
+        p = S.PerfectHash.load(memoryview(S.PerfectHash.build(h).dump()))
+        some, out = h[:: max(1, n // 300)], []
+        for k in some:
+            began = time.perf_counter()
+            p.slots(np.array([k], np.uint64))
+            out.append(time.perf_counter() - began)
+        return sorted(out)[len(out) // 2]
+
+    assert least(1_000_000) <= 2 * least(10_000)
+
+
 def test_marks_capitals_and_white_space():
     words = S._words(PATH)
     for text in ("It's, I'M. DON'T! 'tis", 'He said "word", and (that).', "a,b;c::d||", " \x1c \x1f a\x1cb\x85c\u2028d", "İSTANBUL ſ K ΑΣ.", "<|endoftext|>.", "x|>| ١٢٣, ²³! é́,", LONG):
@@ -58,9 +88,15 @@ def test_every_letter_before_a_mark():
         assert np.frombuffer(next(words.encode([text])), words.kind).tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, S.END], hex(c)
 
 
+def ranked(frame):
+    """Rows in the order of the store: by id, then by hash of the text."""
+    rows = frame.selectExpr("doc_id", "text", "xxhash64(text) AS tie").collect()
+    return [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["text"] or ""))]
+
+
 def expected(rows, library):
     out, start = [], 0
-    for doc, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for doc, text in rows:
         ids = np.array(library(text), "<u4")
         out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -69,7 +105,7 @@ def expected(rows, library):
 
 def test_edges(spark, edges, empty, library, tmp_path):
     route = S.write_store(edges, PATH, f"file://{tmp_path}/a")
-    assert sorted(map(tuple, S.read_store(spark, route).collect()), key=repr) == expected(EDGES, library)
+    assert sorted(map(tuple, S.read_store(spark, route).collect()), key=repr) == expected(ranked(edges), library)
     store = S.TokenStore(route)
     assert store.get(11).tolist() == library(EDGES[-2][1]) and store.get(5, 1).tolist() == store.get(5).tolist()
     assert store.get(7, 0) is not None and store.get(7, 1) is not None and store.get(7, 2) is None
@@ -84,6 +120,55 @@ def test_foreign_keys_are_turned_away(spark, sf, tmp_path):
     assert all(store.get(k) is not None for k in range(200)) and all(store.get(k) is None for k in range(200, 3000))
 
 
+def test_full_shards_and_ids_over_several_tasks(spark, library, tmp_path, monkeypatch):
+    """An id that holds most rows is dealt to several tasks, which start new shards; each of its rows is found by its number."""
+    rows = [(7, f"text number {k}") for k in range(300)] + [(None, f"no id {k}") for k in range(40)] + [(k, "plain") for k in range(20)] + [(7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "SHARD_DOCS", 32)
+    words, made = S._words(PATH), []
+    for at in range(0, 3):  # as three tasks would write it
+        part = ranked(frame)[at * 120 : (at + 1) * 120 + (at == 2)]
+        held, shard = None, 0
+        for doc, text in part:
+            held = held or S._Writer(words, f"file://{tmp_path}/d", f"shard-{at}-{shard}.ids")
+            held.add(doc, next(words.encode([text])))
+            if held.full():
+                made.append({"part": at, "shard": shard, **held.close()})
+                held, shard = None, shard + 1
+        if held:
+            made.append({"part": at, "shard": shard, **held.close()})
+    route = S.routed(made[::-1])
+    assert len(route) > 9 and [r.ids for r in route] == sorted(r.ids for r in route)
+    store, same = S.TokenStore(route), [t for d, t in ranked(frame) if d == 7]
+    assert [store.get(7, k).tolist() for k in range(len(same))] == [library(t) for t in same] and store.get(7, len(same)) is None
+    lone = [t for d, t in ranked(frame) if d is None]
+    assert [store.get(None, k).tolist() for k in range(40)] == [library(t) for t in lone] and store.get(None, 40) is None
+    assert sorted(map(tuple, S.read_store(spark, route).collect()), key=repr) == expected(ranked(frame), library)
+
+
+def test_ranged_reads(spark, sf, library, tmp_path, monkeypatch):
+    """As on a store whose files can't be mapped."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    route = S.write_store(frame, PATH, f"file://{tmp_path}/e")
+    real = S.fs.FileSystem.from_uri
+
+    class Remote:
+        def __init__(self, store):
+            self.open_input_file = store.open_input_file
+
+    class System:
+        @staticmethod
+        def from_uri(path):
+            store, name = real(path)
+            return Remote(store), name
+
+    monkeypatch.setattr(S, "fs", type("F", (), {"FileSystem": System, "LocalFileSystem": S.fs.LocalFileSystem}))
+    monkeypatch.setattr(S, "AHEAD", 1000)
+    got = [tuple(r.values()) for b in S._read([pa.RecordBatch.from_pydict({"path": [r.path for r in route], "before": [r.ids for r in route]})]) for r in b.to_pylist()]
+    assert sorted(got, key=repr) == expected(ranked(frame), library)
+    assert all(S.Shard(r.path).data is None for r in route) and S.TokenStore(route).get(7).tolist() == library(dict(ranked(frame))[7])
+
+
 def test_query(spark, sf, library):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = ranked(spark.read.parquet(f"{sf}/documents.parquet"))
     assert sorted(map(tuple, S.op10_token_store(spark, sf).collect()), key=repr) == expected(rows, library)
