@@ -6,8 +6,13 @@ repeats until no word has a pair left; the rows of a word's last round, in order
 cut a vocabulary entry in two entries, since any two neighbours whose concatenation is an entry may merge. Decoding joins the ids
 of a batch with the vocabulary and aggregates the pieces of each document in order of position.
 
-Results for pieces are kept between batches, KNOWN of them at most (half of them the last used). A piece of more than LONG bytes would take as many rounds as
-bytes over its whole length, so it is contracted by a heap over the same merge table (same rule: lowest rank, then leftmost).
+A piece of more than LONG bytes is first split wherever two bytes stand side by side that do so in no vocabulary entry: no token can
+span such a place, so the parts are contracted by themselves. Parts that are still long would take a round for every merge. For them the
+query contracts all places of the minimum pair in one round, of places that overlap the first, third and so on. That is what one place
+at a time comes to as long as no pair that comes about ranks lower; where one does, only the leftmost place is contracted. The rounds
+are run some at a time, since a recursive query keeps the rows of them all.
+
+Results for pieces are kept between batches, KNOWN of them at most (half of them the last used).
 
 Null text counts as empty: no ids, and the hash of nothing. Rows with a null or repeated doc_id are encoded one by one. Extra
 columns are ignored; an empty table gives an empty result.
@@ -17,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,8 +38,10 @@ from .common import small_batches
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 KNOWN = 1_000_000
-#: Pieces that one recursive query contracts.
-LEARNED = 20_000
+#: Pieces that one recursive query contracts, and rows that it holds of long ones, over all its rounds.
+LEARNED, LONG_ROWS = 20_000, 3_000_000
+#: MB that a worker's database may hold, and bytes more for each byte of a long part that can't be split.
+MEMORY, LONG_BYTES = 200, 600
 #: Token rows that one decoding query holds.
 DECODE_ROWS = 1 << 17
 
@@ -57,6 +63,39 @@ WITH RECURSIVE step(round, w, pos, id, after, next) AS (
 )
 SELECT w, id FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last ORDER BY w, pos
 """
+#: The same over long pieces, from a state of earlier rounds: hits are all places of the minimum pair, of which those in odd places of a run go.
+_CONTRACT_LONG = """
+WITH RECURSIVE step(round, w, pos, id, after, next) AS (
+  SELECT 0, w, pos, id, after, next FROM state
+  UNION ALL
+  (
+    WITH pairs AS MATERIALIZED (SELECT s.*, m.merged FROM step s LEFT JOIN merges m ON m.a = s.id AND m.b = s.next),
+    best AS (SELECT w, min(merged::BIGINT << 32 | pos) AS key FROM pairs WHERE merged IS NOT NULL GROUP BY w),
+    places AS MATERIALIZED (
+      SELECT p.w, p.pos AS spot, p.merged, p.after AS gone, g.after AS then_after, g.next AS then_next, q.id AS before, b.key & 4294967295 AS leftmost
+      FROM best b JOIN pairs p ON p.w = b.w AND p.merged = b.key >> 32 JOIN pairs g ON g.w = p.w AND g.pos = p.after LEFT JOIN pairs q ON q.w = p.w AND q.after = p.pos
+    ),
+    lower AS (
+      SELECT p.w FROM places p JOIN lows l ON l.a = p.merged AND l.b = p.then_next AND l.merged < p.merged
+      UNION SELECT p.w FROM places p JOIN lows l ON l.a = p.before AND l.b = p.merged AND l.merged < p.merged
+      UNION SELECT p.w FROM places p JOIN lows l ON l.a = p.merged AND l.b = p.merged
+    ),
+    hits AS (
+      SELECT p.*, row_number() OVER o AS k, lag(p.gone) OVER o IS NOT DISTINCT FROM p.spot AS follows
+      FROM places p LEFT JOIN lower l ON l.w = p.w WHERE l.w IS NULL OR p.spot = p.leftmost WINDOW o AS (PARTITION BY p.w ORDER BY p.spot)
+    ),
+    runs AS (SELECT *, k - max(CASE WHEN follows THEN 0 ELSE k END) OVER (PARTITION BY w ORDER BY spot) AS place FROM hits),
+    joined AS MATERIALIZED (SELECT * FROM runs WHERE place % 2 = 0),
+    kept AS (
+      SELECT p.round + 1 AS round, p.w, p.pos, coalesce(j.merged, p.id) AS id, CASE WHEN j.spot IS NULL THEN p.after ELSE j.then_after END AS after, CASE WHEN j.spot IS NULL THEN p.next ELSE j.then_next END AS next
+      FROM pairs p SEMI JOIN best b ON b.w = p.w ANTI JOIN joined g ON g.w = p.w AND g.gone = p.pos LEFT JOIN joined j ON j.w = p.w AND j.spot = p.pos
+      WHERE p.round < $rounds
+    )
+    SELECT k.round, k.w, k.pos, k.id, k.after, coalesce(n.merged, k.next) FROM kept k LEFT JOIN joined n ON n.w = k.w AND n.spot = k.after
+  )
+)
+SELECT w, pos, id, after, next, last FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last ORDER BY w, pos
+"""
 _DECODE = "SELECT t.d AS d, array_to_string(list(v.piece ORDER BY t.pos), '') AS body FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.d"
 
 
@@ -70,63 +109,66 @@ class ByteBpe:
         ranks = self.ranks
         cuts = np.fromiter((x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], r)), np.int32).reshape(-1, 3)
         self.merges = pa.table({"a": cuts[:, 0].copy(), "b": cuts[:, 1].copy(), "merged": cuts[:, 2].copy()})
+        self.beside = np.zeros((256, 256), bool)
+        for t in ranks:
+            b = np.frombuffer(t, np.uint8)
+            self.beside[b[:-1], b[1:]] = True
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "allocator_flush_threshold": "4MB", "allocator_bulk_deallocation_flush_threshold": "4MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}MB", "allocator_flush_threshold": "4MB", "allocator_bulk_deallocation_flush_threshold": "4MB"})
         self.db.register("merges_in", self.merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.unregister("merges_in")
+        self.db.execute("CREATE TABLE lows AS SELECT * FROM merges WHERE merged < greatest(a, b)")
         # a byte stands as the code point of its number, so that ordered string aggregation joins bytes
         pieces = pa.table({"id": np.array(list(ranks.values()), np.int32), "piece": [t.decode("latin-1") for t in ranks]})
         self.db.register("vocabulary_in", pieces)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.db.unregister("vocabulary_in")
         self.remember, self.known, self.old = remember, {}, {}
-        self._pairs: dict[tuple[int, int], int] | None = None
+
+    def parts(self, data: bytes) -> list[bytes]:
+        """data, split where no token can span."""
+        b = np.frombuffer(data, np.uint8)
+        edges = [0, *(np.flatnonzero(~self.beside[b[:-1], b[1:]]) + 1).tolist(), len(data)]
+        return [data[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
     def _long(self, data: bytes) -> bytes:
-        if self._pairs is None:
-            self._pairs = dict(zip(zip(self.merges["a"].to_pylist(), self.merges["b"].to_pylist(), strict=True), self.merges["merged"].to_pylist(), strict=True))
-        pairs, ids = self._pairs, self.single[np.frombuffer(data, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != x or j >= n or ids[j] != y:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (s := pairs.get((ids[p], ids[q]))) is not None:
-                    heapq.heappush(heap, (s, p, ids[p], ids[q]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        """The ids of one part."""
+        pos, ids = np.arange(len(data), dtype=np.int64), self.single[np.frombuffer(data, np.uint8)]
+        state = pa.table({"w": np.zeros(len(data), np.int32), "pos": pos, "id": ids, "after": pa.array([*range(1, len(data)), None], pa.int64()), "next": pa.array([*ids[1:].tolist(), None], pa.int32())})
+        self.db.execute(f"SET memory_limit = '{MEMORY + len(data) * LONG_BYTES // 1_000_000}MB'")
+        while True:
+            rounds = max(4, LONG_ROWS // len(state))
+            self.db.register("state", state)
+            state = self.db.sql(_CONTRACT_LONG, params={"rounds": rounds}).to_arrow_table()
+            self.db.unregister("state")
+            if state["last"][0].as_py() < rounds:
+                self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
+                return state["id"].to_numpy().astype("<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words in known."""
-        short: list[str] = []
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            if len(data) > LONG:
-                self.known[w] = self._long(data)
-            else:
-                short.append(w)
+        data = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        long = {w: self.parts(d) for w, d in data.items() if len(d) > LONG}
+        short = sorted({d for w, d in data.items() if w not in long} | {p for parts in long.values() for p in parts if len(p) <= LONG})
+        ids: dict[bytes, bytes] = {}
         for at in range(0, len(short), LEARNED):
             some = short[at : at + LEARNED]
-            data = [w.encode("utf-8", "surrogatepass") for w in some]
-            sizes = np.array([len(d) for d in data])
+            sizes = np.array([len(d) for d in some])
             starts = np.cumsum(sizes) - sizes
             w = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             pos = (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)
-            self.db.register("pieces", pa.table({"w": w, "pos": pos, "id": self.single[np.frombuffer(b"".join(data), np.uint8)]}))
+            self.db.register("pieces", pa.table({"w": w, "pos": pos, "id": self.single[np.frombuffer(b"".join(some), np.uint8)]}))
             got = self.db.execute(_CONTRACT).fetchnumpy()
             self.db.unregister("pieces")
             edges = np.searchsorted(got["w"], np.arange(len(some) + 1))
             flat = np.asarray(got["id"]).astype("<u4").tobytes()
-            for word, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.known[word] = flat[4 * a : 4 * b]
+            ids |= {d: flat[4 * a : 4 * b] for d, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+        for w in words:
+            if w in long:
+                self.known[w] = b"".join(ids[p] if len(p) <= LONG else self._long(p) for p in long[w])
+            else:
+                self.known[w] = ids[data[w]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,8 @@ def test_any_text_as_the_library(bpe, library, texts):
 
 
 def test_long_pieces_and_texts(bpe, library):
-    texts = ["a" * 3000, "ab" * 400, "0123456789" * 60, " " * 900 + "x", "=" * 300, "日本語のテキスト" * 50, LONG, "<|endoftext|>", "aaaaaaaab" * 31]
+    texts = ["a" * 3000, "ab" * 400, "0123456789" * 60, " " * 900 + "x", "=" * 300, "日本語のテキスト" * 50, LONG, "<|endoftext|>", "aaaaaaaab" * 31, "ab" * 5000 + "ba" * 5000, "x" * 70000, "haha" * 3000 + "ha", "einsein" * 900]
+    texts += ["".join(random.Random(k).choice(letters) for _ in range(4000)) for k, letters in enumerate(("acgt", "aA", "abcdefghijklmnopqrstuvwxyz", "in", "the", "ßäü日本"))]
     assert list(bpe.encode(texts)) == [ids(library, t) for t in texts]
 
 
@@ -49,6 +51,28 @@ def test_both_ways_of_contracting_agree(bpe):
         assert bpe.known[w] == bpe._long(data)
 
 
+@given(st.text(alphabet="aábehinorstl ", min_size=1, max_size=200))
+@settings(max_examples=60, deadline=None)
+def test_contracting_many_places_at_once_is_contracting_one_by_one(bpe, library, text):
+    """Of a string that the pattern wouldn't keep in one piece, too."""
+    assert bpe._long(text.encode()) == np.array(library._core_bpe.encode_single_piece(text.encode()), "<u4").tobytes()
+
+
+def test_places_that_no_token_spans(bpe, library):
+    for text in ("日本語のテキスト" * 50, "acgt" * 300, "zzqqxjkv" * 20):
+        parts = bpe.parts(text.encode())
+        assert b"".join(parts) == text.encode() and len(parts) > 1
+        assert sum((library._core_bpe.encode_single_piece(p) for p in parts), []) == library._core_bpe.encode_single_piece(text.encode())
+
+
+def test_a_long_piece_in_few_rounds_at_a_time(bpe, library, monkeypatch):
+    monkeypatch.setattr(B, "LONG_ROWS", 1)
+    text = "in" * 300 + "ni" * 300
+    bpe.known.pop(text, None)
+    bpe.old.pop(text, None)
+    assert list(bpe.encode([text])) == [ids(library, text)]
+
+
 def test_forgetting_changes_nothing(bpe, library, monkeypatch):
     monkeypatch.setattr(bpe, "remember", 8)
     texts = ["one two three four", "five six seven", "one two", "two eight nine", "", "one two three four five six seven eight nine ten", "two"]
