@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
 
+import pytest
+
 from rasterloom.llm import decontaminate as D
 
 from .conftest import LONG
@@ -9,32 +12,33 @@ tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
 
 
 def brute(docs, items):
-    """All diagonals of all pairs; a hit needs a mask without a difference under its ones."""
-    out = set()
+    """All diagonals of all pairs, whatever the masks."""
+    out, classes = {}, {}
+    for i, item in items:
+        if i is not None and tokens(item):
+            classes.setdefault(tuple(tokens(item)), []).append(i)
     for d, text in docs:
-        for i, item in items:
-            a, b = tokens(text), tokens(item)
-            best = None
+        a = tokens(text)
+        for b, ids in classes.items():
+            w = min(D.WINDOW, len(b))
             for g in range(-len(b) + 1, len(a)):
                 eq = [0 <= k + g < len(a) and a[k + g] == b[k] for k in range(len(b))]
-                hit = any(all(eq[s + j] for j, m in enumerate(mask) if m == "1") and 0 <= s + g and s + g + len(mask) <= len(a) for mask in D.MASKS for s in range(len(b) - len(mask) + 1))
-                w = min(D.WINDOW, len(b))
-                if hit and any(100 * sum(eq[s : s + w]) >= D.SIMILARITY * w for s in range(len(b) - w + 1)):
-                    best = max(best or 0, sum(eq))
-            if best is not None and d is not None and i is not None:
-                out.add((d, i, len(b), best))
-    return out
+                if d is not None and any(100 * sum(eq[s : s + w]) >= D.SIMILARITY * w for s in range(len(b) - w + 1)):
+                    key = (d, min(ids))
+                    out[key] = (len(b), max(sum(eq), out.get(key, (0, 0))[1]), len(ids))
+    return {(*k, *v) for k, v in out.items()}
 
 
 def sample():
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 3)))
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 20, 15, 13, 9, 6, 5, 0))]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 20, 15, 13, 9, 8, 7, 6, 5, 4, 0))]
+    items += [(90, items[3][1]), (91, items[8][1])]
     docs = []
     for k in range(40):
         words = [word() for _ in range(r.randint(0, 60))]
         if k % 2:
-            copy = tokens(items[k % 5][1])
+            copy = tokens(items[k % 10][1])
             for _ in range(r.randint(0, len(copy) // 4)):
                 copy[r.randrange(len(copy))] = "zz" + word()
             at = r.randrange(len(words) + 1)
@@ -51,19 +55,34 @@ def test_equals_brute_force(spark):
 
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", -1)
     test_equals_brute_force(spark)
 
 
-def test_substitutions_are_found():
-    """Of passages of 15 words with three of them replaced, a mask hits nearly all."""
-    r, found = random.Random(8), 0
-    for _ in range(2000):
-        eq = [1] * 15
-        for i in r.sample(range(15), 3):
-            eq[i] = 0
-        found += any(all(eq[s + j] for j, m in enumerate(mask) if m == "1") for mask in D.MASKS for s in range(16 - len(mask)))
-    assert found > 1850
+def test_no_allowed_substitution_hides_a_copy():
+    """For every length of a window or whole item, every set of places that may differ leaves a mask of that length intact, and a gram with it."""
+    for n in range(1, D.WINDOW + 1):
+        spare = n - -(-D.SIMILARITY * n // 100)
+        for gone in itertools.combinations(range(n), spare):
+            # a window of a longer item is served by the masks of long items
+            for length in {n, D.WINDOW} if n >= D.LONG else {n}:
+                laid = [s for m in D.masks_of(length) for s in range(n - len(m) + 1) if not any(s <= g < s + len(m) and m[g - s] == "1" for g in gone)]
+                assert laid, (n, gone)
+                assert all(any(not set(gone) & {s + p for p in places} for places in D.grams_of(length)) for s in laid)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 14, 30])
+def test_short_items_with_a_substitution(spark, n):
+    words = [f"w{k}x" for k in range(n)]
+    docs = [(0, "before " + " ".join(words) + " after")]
+    docs += [(1 + k, "before " + " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(n)]
+    got = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(words))], "item_id long, text string"))
+    assert set(map(tuple, got.collect())) == brute(docs, [(5, " ".join(words))])
+
+
+def test_a_full_bitmap_hides_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "BITMAP_WORDS", 1)
+    test_equals_brute_force(spark)
 
 
 def test_edges(spark, edges, empty):
