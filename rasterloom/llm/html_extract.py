@@ -1,9 +1,10 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's HTML becomes a tree: block elements are inner nodes, runs of inline text (the blocks) are leaves. Every node is content or
-not. A node's own evidence (tag, words of class, id and role, what kind of part it is in, text length, share of linked text,
-punctuation) gives its potential, and each parent-child edge has a 2 x 2 potential that depends on the child's kind. Sum-product
-messages go from the leaves to the root and back; a block is part of the main text if its marginal is over one half. Weights are fitted by gradient ascent on the
+not. A node's own evidence (tag, words of class, id and role; of a block its length, share of linked text, punctuation) gives its
+potential, and each parent-child edge has a 2 x 2 potential that depends on what the two are. A node knows nothing of what is above or
+below it: that a paragraph stands in a sidebar, or a header in an article, reaches it by sum-product messages, which go from the leaves
+to the root and back. A block is part of the main text if its marginal is over one half. Weights are fitted by gradient ascent on the
 conditional likelihood of labelled pages (labelled_pages writes them in several page layouts; train takes any others).
 
 Scripts, styles, comments and the head never become text. Character references are decoded, white space within a block becomes one
@@ -59,9 +60,10 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]
 _PART = re.compile(r"[A-Za-z]+")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>?""", re.S)
 LEAF = ["leaf", "log_length", "short", "link_share", "ends_sentence", "many_words", "mark"]
-UNARY = [f"tag_{t}" for t in TAGS] + [f"word_{w}" for w in _WORD_KINDS] + LEAF + ["in_container", "in_noise", "top", "bias"]
-EDGE = ["any", "noise_child", "content_child", "leaf_child", "landmark_child"]
+UNARY = [f"tag_{t}" for t in TAGS] + [f"word_{w}" for w in _WORD_KINDS] + LEAF + ["top", "bias"]
+EDGE = ["any", "noise_child", "content_child", "leaf_child", "landmark_child", "content_parent", "header_in_content"]
 _LANDMARKS = {TAGS.index(t) for t in ("nav", "header", "footer", "aside", "form")}
+_HEADER = TAGS.index("header")
 _CONTAINERS = {TAGS.index(t) for t in ("article", "main")}  # what holds content by its tag
 _MARKS = re.compile(r"[©®]")
 
@@ -100,17 +102,10 @@ def parse(page: str | None) -> Tree:
     run: list[str] = []
     linked = [0, 0]  # depth of open links, linked characters in the run
     golds: list[int] = []
-    places: list[int] = []  # of the open elements: 1 in a container of content, 2 in a part that is named otherwise, else 0
-
-    def place(kind: int, words: tuple[int, ...]) -> int:
-        above = places[-1] if places else 0
-        if above == 2 or any(w in _NOISE for w in words):
-            return 2
-        if kind in _CONTAINERS or 0 in words:
-            return 1
-        if kind in _LANDMARKS:  # an article has a header of its own
-            return above if TAGS[kind] == "header" and above else 2
-        return above
+    contents: list[bool] = []  # of the open elements: whether their tag or name says that they hold content
+
+    def holds(kind: int, words: tuple[int, ...]) -> bool:
+        return kind in _CONTAINERS or 0 in words and not any(w in _NOISE for w in words)
 
     def add(kind: int, words: tuple[int, ...], leaf: list[float] | None, gold: int) -> int:
         x = [0.0] * len(UNARY)
@@ -121,13 +116,12 @@ def parse(page: str | None) -> Tree:
                 x[len(TAGS) + w] = 1.0
         else:
             x[len(TAGS) + len(_WORD_KINDS) : len(TAGS) + len(_WORD_KINDS) + len(LEAF)] = leaf
-        here = place(kind, words) if leaf is None else places[-1]
-        x[-4], x[-3], x[-2], x[-1] = float(here == 1), float(here == 2), float(depth <= 1), 1.0
-        noise = any(w in _NOISE for w in words)
+        x[-2], x[-1] = float(depth <= 1), 1.0
+        noise, inside = any(w in _NOISE for w in words), bool(contents and contents[-1])
         tree.parent.append(nodes[-1] if nodes else -1)
         tree.depth.append(depth)
         tree.unary.append(x)
-        tree.edge.append([1.0, float(noise), float(0 in words and not noise or kind in _CONTAINERS), float(leaf is not None), float(kind in _LANDMARKS)])
+        tree.edge.append([1.0, float(noise), float(holds(kind, words)), float(leaf is not None), float(kind in _LANDMARKS), float(inside), float(inside and kind == _HEADER)])
         tree.gold.append(gold)
         return len(tree.parent) - 1
 
@@ -140,7 +134,7 @@ def parse(page: str | None) -> Tree:
         share, linked[1] = min(1.0, linked[1] / max(1, len(raw))), 0
         if text:
             n = len(text)
-            leaf = [1.0, min(1.0, np.log1p(n) / 7), float(n < 25), share, float(text[-1] in ".!?…。:;\"”»"), float(n > 120), float(bool(_MARKS.search(text[:200])))]
+            leaf = [1.0, min(1.0, np.log1p(n) / 7), float(n < 25), share, float(text[-1] in ".!?…。:;\"”»"), float(n > 120), float(bool(_MARKS.search(text)))]
             tree.leaves.append(add(-1, (), leaf, golds[-1] if golds else 0))
             tree.texts.append(text)
 
@@ -150,7 +144,7 @@ def parse(page: str | None) -> Tree:
             gold = int(m[1])
         node = add(_TAG_KIND.get(name, len(TAGS) - 1), _named(attributes) if attributes else (), None, gold)
         names.append(name)
-        places.append(place(_TAG_KIND.get(name, len(TAGS) - 1), _named(attributes) if attributes else ()))
+        contents.append(holds(_TAG_KIND.get(name, len(TAGS) - 1), _named(attributes) if attributes else ()))
         nodes.append(node)
         golds.append(gold)
         held[name] = held.get(name, 0) + 1
@@ -159,7 +153,7 @@ def parse(page: str | None) -> Tree:
         for _ in range(count):
             held[names.pop()] -= 1
             nodes.pop()
-            places.pop()
+            contents.pop()
             golds.pop()
 
     def close_like(kinds: set[str], stop: set[str]) -> None:
@@ -281,8 +275,9 @@ class Model:
         return ["\n".join(x for x, m in zip(t.texts, marginal[own] > 0.5, strict=True) if m) for t, own in zip(trees, f.leaves, strict=True)]
 
 
-def train(pages: list[str], steps: int = 160, rate: float = 0.1, hold: float = 2e-3) -> Model:
-    """Fits the model to pages whose elements carry data-y="1" (content) or "0"; an inner node counts as content if a block below it does."""
+def train(pages: list[str], steps: int = 200, rate: float = 0.1, hold: float = 3e-4, edges: bool = True) -> Model:
+    """Fits the model to pages whose elements carry data-y="1" (content) or "0"; an inner node counts as content if a block below it does.
+    edges: False leaves the edges' potentials at 0, for comparison."""
     trees = [parse(p) for p in pages]
     for t in trees:
         own = set(t.leaves)
@@ -300,6 +295,7 @@ def train(pages: list[str], steps: int = 160, rate: float = 0.1, hold: float = 2
     for k in range(1, steps + 1):
         marginal, joint = model.messages(f)
         grad = np.concatenate((f.unary.T @ (y - marginal), np.tensordot(f.edge[inner], (seen - joint)[inner], ((0,), (0,))).ravel())) / len(pages) - hold * flat
+        grad[len(UNARY) :] *= edges
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         flat = flat + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         model = Model(flat[: len(UNARY)], flat[len(UNARY) :].reshape(-1, 2, 2))
