@@ -1,14 +1,18 @@
 """Personal data by rules, and by a character-level bidirectional LSTM with CRF transitions that adds what the rules miss.
 
 The rules give the base spans (email, ip, card, phone), leftmost and non-overlapping for each kind; they always stay. The tagger reads
-windows of WINDOW characters that overlap by half, over every stretch of text that holds a digit or an at sign with CONTEXT
-characters around it; no span of these kinds is without one, so what lies outside is O by definition. Each window is decoded by
-Viterbi; where windows overlap, a character's tag is that of the window in which it lies farthest from an edge, and spans are read
-from the reconciled tags of the whole text. A tagged span is added if it overlaps no base span and is well formed (a card passes
-Luhn, an address has parts up to 255, a phone 8 to 15 digits, a mail address a dotted domain).
+windows of WINDOW characters that overlap by half. Each window is decoded by Viterbi; where windows overlap, a character's tag is that
+of the window in which it lies farthest from an edge, and spans are read from the reconciled tags of the whole text. A tagged span is
+added if it overlaps no base span and is well formed (a card passes Luhn, an address has parts up to 255, a phone 8 to 15 digits, a mail
+address a dotted domain).
+
+What is well formed holds a digit or an at sign, has no white space but between digits, and no two digits more than GAP characters
+apart. So windows are laid over the stretches where such a span can be: from a digit or at sign to the next less than GAP away, on to
+white space at both ends, and CONTEXT characters more. Elsewhere every tag would be dropped, so nothing is read there.
 
 The tagger is trained in numpy from labelled spans (labelled_texts writes them; train takes any others): the LSTMs by
-backpropagation through time, the CRF by the forward-backward algorithm, both with Adam.
+backpropagation through time, the CRF by the forward-backward algorithm, both with Adam. The default one's weights are in pii_tagger.npz
+beside this file, which python -m rasterloom.llm.pii writes anew.
 
 Null text counts as empty. Rows with a null or repeated doc_id are searched one by one. Extra columns are ignored; an empty table
 gives an empty result.
@@ -17,10 +21,13 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, CONTEXT = 64, 20
+WINDOW, CONTEXT, GAP = 64, 20, 40
 EMBED, HIDDEN = 12, 24
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 BATCH = 512
@@ -41,7 +48,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_ANCHORS = re.compile(r"[0-9@](?:[^0-9@]{0,40}[0-9@])*")
+_ANCHORS = re.compile(rf"[0-9@](?:[^0-9@]{{0,{GAP}}}[0-9@])*")
+_SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -106,9 +114,15 @@ CODES = 100
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
+    """Where a well-formed span can be, with context."""
     out: list[tuple[int, int]] = []
+    spaces: list[int] | None = None
     for m in _ANCHORS.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if spaces is None:
+            spaces = [x.start() for x in _SPACE.finditer(text)]
+        before, after = bisect_left(spaces, m.start()), bisect_left(spaces, m.end())
+        a = max(0, (spaces[before - 1] + 1 if before else 0) - CONTEXT)
+        b = min(len(text), (spaces[after] if after < len(spaces) else len(text)) + CONTEXT)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -360,19 +374,25 @@ def train(texts: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 10)
     return Tagger().fit(*examples(texts), epochs=epochs)
 
 
-_trained: dict[str, Tagger] = {}
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_tagger.npz")
+_loaded: dict[str, Tagger] = {}
 
 
 def default_tagger() -> Tagger:
-    if "tagger" not in _trained:
-        _trained["tagger"] = train(labelled_texts())
-    return _trained["tagger"]
+    """From its file, which the driver reads; tasks get the tagger with their function."""
+    if WEIGHTS not in _loaded:
+        _loaded[WEIGHTS] = Tagger()
+        with np.load(WEIGHTS) as held:
+            _loaded[WEIGHTS].p = {k: held[k] for k in held.files}
+    return _loaded[WEIGHTS]
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and the well-formed tagged ones that overlap none of them, by kind, then start."""
-    added = [(k, a, b) for k, a, b in tagged if well_formed(k, text[a:b]) and not any(a < e and s < b for _, s, e in base)]
-    return sorted([*base, *added])
+    by_start = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in by_start], list(accumulate((e for _, e in by_start), max))
+    free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
+    return sorted([*base, *((k, a, b) for k, a, b in tagged if free(a, b) and well_formed(k, text[a:b]))])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -405,3 +425,7 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **train(labelled_texts(6000), epochs=14).p)
