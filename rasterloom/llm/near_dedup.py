@@ -7,18 +7,21 @@ to carriage return); a shorter text is one shingle, a text without words has the
    and deals them to the registers by its own permutation; a register keeps the minimum, stored as floor(1 - log_b x). Registers of a
    union are the elementwise maximum of the parts' registers, so they merge. Later intervals hold larger values only, so a set stops
    drawing once every register is filled.
-2. Documents with equal sets form one class, stood for by its smallest doc_id. Some bands of some register values each put classes in
+2. Documents with equal sets form one class, named by a hash of the set. Some bands of some register values each put classes in
    buckets; at the threshold's similarity two classes miss each other in all bands with a chance of MISS. The threshold is 0.85
    unless another is given; bands, rows, registers and floor follow from it (Plan).
-3. In a bucket of more than BLOCK classes each is first compared with the smallest. Those not linked to it are cut in blocks of about
-   BLOCK, the others too, and each pair of blocks with one that isn't is a small group whatever the bucket's size; a smaller bucket
-   is a group by itself. Inside a group, a pair is looked at in the first band in which it collides. The likelihood of the two registers' comparison,
-   with the set sizes known, has its maximum above the plan's floor or the pair is dropped (5 standard deviations below the threshold); what
-   remains is confirmed on the full sets. A group returns a spanning forest of its links, never its pairs.
+3. Classes that buckets connect make up a neighbourhood. One of at most GROUP classes and GROUP_SHINGLES shingles is one group, which each
+   class's set and registers reach once however many buckets it is in; its pairs with a bucket in common are looked at. Larger ones are
+   taken bucket by bucket, a pair in the first band in which it collides: in a bucket of more than BLOCK classes each is first compared
+   with one of them, the leader, whose set goes to every STAR of them once. Those not linked to it are cut in blocks of about BLOCK, the
+   others too, and each pair of blocks with one that isn't is a small group whatever the bucket's size.
+   The likelihood of the two registers' comparison, with the set sizes known, has its maximum above the plan's floor or the pair is
+   dropped (5 standard deviations below the threshold); what remains is confirmed on the full sets. A group returns a spanning forest of
+   its links, never its pairs.
 4. Links become components by alternating large-star and small-star.
 
 Null text counts as empty. Rows with a null doc_id are returned with a null component and kept. Rows that repeat a doc_id are judged
-by their own texts. Extra columns are ignored; an empty table gives an empty result.
+by their own texts, which are classes of their own. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,15 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import bounded, components, cut, release, small_batches
 
 SHINGLE = 5
 MISS = 1e-6
 MAX_BANDS, MAX_ROWS = 64, 8  # a bucket's number ends in six bits of its band; a band is hashed as two words of four registers
 BASE, RATE = 1.001, 20.0
 BLOCK = 128
+#: Members of a large bucket that meet its leader in one group.
+STAR = 512
+#: Classes of a neighbourhood that is one group, and the shingles in them, of 8 bytes each.
+GROUP, GROUP_SHINGLES = 256, 4_000_000
 PIECE = 1 << 18
-#: Classes (a doc_id and a hash each) that are broadcast to the texts; with more of them the texts are shuffled.
+#: Classes and buckets, of some 60 bytes each, that are broadcast to the rows they belong to; with more of them both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -224,32 +231,30 @@ def set_key(items: np.ndarray) -> str | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest() if len(items) else None
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
-_FULL = pa.schema([("rep", pa.int64()), ("items", pa.binary()), ("levels", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("bands", pa.list_(pa.int64()))])
+_FULL = pa.schema([("key", pa.string()), ("items", pa.binary()), ("levels", pa.binary())])
 
 
 def _sketch(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, bands = [], [], []
-        for items in shingle_sets(batch.column(1).to_pylist()):
+        for items in shingle_sets(batch.column(2).to_pylist()):
             sizes.append(len(items))
             keys.append(set_key(items))
             bands.append(band_hashes(registers(items, plan), plan) if len(items) else np.empty(0, np.int64))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_SKETCH)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_SKETCH)
 
 
 def _full(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, set and registers of those rows whose set is the class's (a repeated doc_id may come with other texts)."""
+    """key, set and registers of each class. A row that comes several times makes its class's once in a task."""
+    done: set[str] = set()
     for batch in batches:
-        ids, sets, levels = [], [], []
-        for rep, key, items in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
-            if set_key(items) == key:
-                ids.append(rep)
-                sets.append(items.tobytes())
-                levels.append(registers(items, plan).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(levels, pa.binary())], schema=_FULL)
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        new = [i for i, k in enumerate(keys) if k not in done and not done.add(k)]
+        sets = list(shingle_sets([texts[i] for i in new]))
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.string()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, plan).tobytes() for x in sets], pa.binary())], schema=_FULL)
 
 
 def likely(higher: np.ndarray, lower: np.ndarray, size: int, sizes: np.ndarray, plan: Plan = PLAN) -> np.ndarray:
@@ -270,19 +275,20 @@ def likely(higher: np.ndarray, lower: np.ndarray, size: int, sizes: np.ndarray,
     return (x > 0) & (y > 0) & (slope >= 0)
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.string()), ("b", pa.string())])
 
 
-def forest(plan: Plan, left: int, right: int, band: int, rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
-    """The links of one pair of blocks, less those that close a circle. rows: id, block, set and registers of each class."""
+def forest(plan: Plan, rows: list[tuple[str, int, bytes, bytes]], left: int = 0, right: int = 0, band: int | None = None) -> list[tuple[str, str]]:
+    """The links of one pair of blocks, less those that close a circle. rows: key, block, set and registers of each class. band: that of the
+    bucket, so pairs that share an earlier one are left to it; without it, pairs that share any."""
     rows = list({r[0]: r for r in rows}.values())
-    ids = np.array([r[0] for r in rows])
+    keys = [r[0] for r in rows]
     blocks = np.array([r[1] for r in rows])
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     levels = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
     sizes = np.array([len(x) for x in sets], np.float64)
-    banded = levels[:, : plan.bands * plan.rows].reshape(len(ids), plan.bands, plan.rows)
-    parent = list(range(len(ids)))
+    banded = levels[:, : plan.bands * plan.rows].reshape(len(keys), plan.bands, plan.rows)
+    parent = list(range(len(keys)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -297,8 +303,9 @@ def forest(plan: Plan, left: int, right: int, band: int, rows: list[tuple[int, i
             others = others[others > i]
         ratio = np.minimum(sizes[others], sizes[i]) / np.maximum(sizes[others], sizes[i])
         others = others[ratio * 100 >= plan.per_cent - 1e-9]
-        if band and len(others):
-            others = others[~(banded[others, :band] == banded[i, :band]).all(2).any(1)]
+        if band != 0 and len(others):
+            common = (banded[others, :band] == banded[i, :band]).all(2).any(1)
+            others = others[common if band is None else ~common]
         if not len(others):
             continue
         higher, lower = (levels[i] > levels[others]).sum(1), (levels[i] < levels[others]).sum(1)
@@ -306,100 +313,144 @@ def forest(plan: Plan, left: int, right: int, band: int, rows: list[tuple[int, i
             x, y = find(i), find(j)
             if x != y and plan.linked(sets[i], sets[j]):
                 parent[y] = x
-                out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+                out.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
     return out
 
 
-def _links(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket, low and high; a group is held only while its rows come in."""
-    key, band, rows = None, 0, []
+def _told(links: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())], schema=_LINK)
 
-    def told() -> pa.RecordBatch:
-        found = forest(plan, key[1], key[2], band, rows) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=_LINK)
 
+def _gathered(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come sorted by their first columns, group by group; a group is held only while its rows come in."""
+    key, rows = None, []
     for batch in batches:
-        bucket, low, high, bands, reps, blocks, items, levels = (c.to_pylist() for c in batch.columns)
-        for at in zip(bucket, low, high, bands, reps, blocks, items, levels, strict=True):
-            if at[:3] != key:
-                if len(rows) > 1 and (links := told()).num_rows:
-                    yield links
-                key, band, rows = at[:3], at[3], []
-            rows.append(at[4:])
-    if len(rows) > 1:
-        yield told()
-
-
-def _star(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep and leader of the rows whose sets are linked."""
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def _neighbours(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _gathered(batches, 1):
+        if len(rows) > 1 and (links := forest(plan, [(k, 0, items, levels) for k, items, levels in rows])):
+            yield _told(links)
+
+
+def _buckets(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, low, high, band), rows in _gathered(batches, 4):
+        if len(rows) > 1 and (links := forest(plan, rows, low, high, band)):
+            yield _told(links)
+
+
+def _stars(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members to their leader, which comes before them."""
+    at, head = None, None
     for batch in batches:
-        view = lambda column: [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-        told = [plan.linked(a, b) for a, b in zip(view(batch.column(2)), view(batch.column(3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(told)), batch.column(1).filter(pa.array(told))], schema=_LINK)
+        links = []
+        leaders, salts, keys, sets = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+        for leader, salt, key, items in zip(leaders, salts, keys, sets, strict=True):
+            items = np.frombuffer(items, np.uint64)
+            if (leader, salt) != at:
+                at, head = (leader, salt), items
+            elif key != leader and plan.linked(items, head):
+                links.append((max(key, leader), min(key, leader)))
+        yield _told(links)
 
 
 def _large(placed: DataFrame, full: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """The blocks of large buckets, and links to their leaders.
 
-    Every member is compared with the bucket's leader, its smallest id. Those that are linked to it are connected already, so only the
+    Every member is compared with the bucket's leader, its smallest key. Those that are linked to it are connected already, so only the
     rest are compared among themselves and with them. A bucket of many like texts takes as many rows as it has members; blocks cost
     more in proportion to those that aren't like the leader.
     """
-    leaders = cut(placed.groupBy("bucket").agg(F.min("rep").alias("leader")), "leaders")
-    led = cut(placed.join(leaders, "bucket").select("rep", "bucket", "band", "leader"), "led")
-    heads = full.select(F.col("rep").alias("leader"), F.col("items").alias("head"))
-    pairs = led.where("rep <> leader").select("rep", "leader").distinct().join(full, "rep").join(heads, "leader")
-    stars = cut(pairs.select("rep", "leader", "items", "head").mapInArrow(partial(_star, plan), "a long, b long"), "stars")
-    members = led.join(stars, (F.col("rep") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("rep", "bucket", "band", (F.col("a").isNotNull() | (F.col("rep") == F.col("leader"))).alias("like"))
-    members = cut(members, "likes")
-    counts = cut(members.groupBy("bucket").agg(F.sum(F.when(F.col("like"), 1).otherwise(0)).alias("n_like"), F.sum(F.when(F.col("like"), 0).otherwise(1)).alias("n_other")), "counts")
+    leaders = cut(placed.groupBy("bucket").agg(F.min("key").alias("leader")), "leaders")
+    led = cut(placed.join(leaders, "bucket").select("key", "bucket", "band", "leader"), "led")
+    pairs = led.where("key <> leader").select("key", "leader").distinct()
+    counts = cut(pairs.groupBy("leader").agg(F.expr(f"(count(1) + {STAR - 1}) div {STAR}").alias("salts")), "salts")
+    dealt = cut(pairs.join(counts, "leader").select("leader", F.expr("pmod(xxhash64(key), salts)").alias("salt"), F.lit(1).alias("place"), "key"), "dealt")
+    heads = counts.select("leader", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("place"), F.col("leader").alias("key"))
+    met = dealt.unionByName(heads).join(full.select("key", "items"), "key").select("leader", "salt", "place", "key", "items")
+    stars = cut(met.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "place").mapInArrow(partial(_stars, plan), "a string, b string"), "stars")
+    linked = stars.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("head"))
+    members = led.join(linked, (F.col("key") == F.col("member")) & (F.col("leader") == F.col("head")), "left").select("key", "bucket", "band", (F.col("member").isNotNull() | (F.col("key") == F.col("leader"))).alias("like"))
+    members = cut(members.distinct(), "likes")
+    counted = cut(members.groupBy("bucket").agg(F.sum(F.when(F.col("like"), 1).otherwise(0)).alias("n_like"), F.sum(F.when(F.col("like"), 0).otherwise(1)).alias("n_other")), "counts")
+    release(leaders, led, counts, dealt)
     # blocks of the others come first, then those of the like
-    dealt = members.join(counts, "bucket").withColumn("others", F.expr(f"(n_other + {BLOCK - 1}) div {BLOCK}")).withColumn("likes", F.expr(f"(n_like + {BLOCK - 1}) div {BLOCK}"))
-    dealt = dealt.where("others > 0").withColumn("block", F.expr("if(like, others + pmod(xxhash64(rep), likes), pmod(xxhash64(rep), others))"))
+    dealt = members.join(counted, "bucket").withColumn("others", F.expr(f"(n_other + {BLOCK - 1}) div {BLOCK}")).withColumn("likes", F.expr(f"(n_like + {BLOCK - 1}) div {BLOCK}"))
+    dealt = dealt.where("others > 0").withColumn("block", F.expr("if(like, others + pmod(xxhash64(key), likes), pmod(xxhash64(key), others))"))
     meets = F.expr("if(like, sequence(0L, others - 1), sequence(0L, others + likes - 1))")
-    spread = dealt.select("rep", "bucket", "band", "block", F.explode(meets).alias("x"))
-    return spread.select("rep", "bucket", "band", "block", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high")), stars
+    spread = dealt.select("key", "bucket", "band", "block", F.explode(meets).alias("x"))
+    return spread.select("key", "bucket", "band", "block", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high")), stars
+
+
+def links_of(texts: DataFrame, heads: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between classes: a spanning forest of each group. texts: doc_id, raw, text; heads: doc_id, raw, set_key, n_shingles, bands."""
+    # a bucket's number ends in that of its band
+    every = heads.select(F.col("set_key").alias("key"), "doc_id", "raw", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = cut(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    held = cut(every.join(bounded(shared, BROADCAST_ROWS), "bucket"), "held")
+    placed = cut(held.select("bucket", "key").distinct(), "placed")
+    # buckets with the same members are looked at once, in the first band: there all their pairs collide first
+    members = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")).where("n > 1")
+    first = members.groupBy("n", "x", "y").agg(F.min(F.struct(F.expr("bucket & 63").alias("band"), "bucket")).alias("first")).select("n", "first.band", "first.bucket")
+    chosen = cut(placed.join(first, "bucket"), "members")
+    wanted = held.join(chosen.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "raw", "n_shingles")).alias("row"))
+    wanted = cut(wanted.select("key", F.col("row.doc_id").alias("id"), F.col("row.raw").alias("id_raw"), F.col("row.n_shingles").alias("size")), "wanted")
+    named = bounded(wanted, BROADCAST_ROWS)
+    full = cut(texts.join(named, (texts["doc_id"] == named["id"]) & (texts["raw"] == named["id_raw"])).select("key", "text").mapInArrow(partial(_full, plan), "key string, items binary, levels binary"), "sets")
+    release(shared, held, placed)
+    # neighbourhoods: what buckets connect
+    leaders = cut(chosen.groupBy("bucket").agg(F.min("key").alias("leader")), "leaders")
+    around = components(chosen.join(leaders, "bucket").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+    sized = around.join(wanted.select(F.col("key").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("shingles"))
+    near = cut(around.join(cut(sized.where((F.col("classes") <= GROUP) & (F.col("shingles") <= GROUP_SHINGLES)), "sized"), "root").select(F.col("node").alias("key"), "root"), "near")
+    grouped = full.join(bounded(near, BROADCAST_ROWS), "key").select("root", "key", "items", "levels").repartition("root").sortWithinPartitions("root")
+    links = cut(grouped.mapInArrow(partial(_neighbours, plan), "a string, b string"), "links")
+    # the others, bucket by bucket
+    rest = cut(chosen.join(near, "key", "left_anti"), "rest")
+    release(leaders, near, chosen, wanted)
+    small = rest.where(F.col("n") <= BLOCK).select("key", "bucket", "band", *(F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")))
+    large, stars = _large(rest.where(F.col("n") > BLOCK), full, plan)
+    spread = small.unionByName(large).join(full, "key").select("bucket", "low", "high", "band", "key", "block", "items", "levels")
+    more = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(partial(_buckets, plan), "a string, b string")
+    return links.unionByName(more).unionByName(stars)
 
 
 def near_groups(documents: DataFrame, per_cent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; sets are linked from a similarity of per_cent.
+    """doc_id, n_shingles, component_id, kept, set_key, raw of every row; sets are linked from a similarity of per_cent.
 
-    Sets and registers of the classes that share a bucket are the only large thing shuffled; texts are too, once, if such classes are
-    too many to be broadcast.
+    Shuffles: numbers of buckets, partly aggregated; once, the sets and registers of classes that share a bucket. Texts and bands stay
+    where they are unless more than BROADCAST_ROWS classes are wanted of them.
     """
     small_batches(documents.sparkSession)
     plan = Plan(per_cent)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut(texts.mapInArrow(partial(_sketch, plan), "doc_id long, n_shingles long, set_key string, bands array<long>"), "sketches")
+    # what names a row is its doc_id and a hash of its text, for a doc_id may come with several texts
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.octet_length("text"), "text").alias("raw"), "text")
+    sketches = cut(texts.mapInArrow(partial(_sketch, plan), "doc_id long, raw long, n_shingles long, set_key string, bands array<long>"), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    heads = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
-    # a bucket's number ends in that of its band
-    placed = heads.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    # tables that hot keys meet are written first: such a join has an exchange on both sides and can be split
-    shared = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    placed = cut(placed.join(shared, "bucket"), "placed")
-    # buckets with the same members are looked at once, in the first band: there all their pairs collide first
-    members = placed.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    first = members.groupBy("n", "x", "y").agg(F.min(F.struct(F.expr("bucket & 63").alias("band"), "bucket")).alias("first")).select("first.band", "first.bucket")
-    placed = cut(placed.join(first, "bucket"), "members")
-    wanted = cut(placed.select(F.col("rep").alias("doc_id")).distinct().join(heads, "doc_id").select("doc_id", "set_key"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    full = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "set_key").mapInArrow(partial(_full, plan), "rep long, items binary, levels binary"), "sets")
-    small = placed.where(F.col("n") <= BLOCK).select("rep", "bucket", "band", *(F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")))
-    large, stars = _large(placed.where(F.col("n") > BLOCK), full, plan)
-    spread = small.unionByName(large).join(full, "rep")
-    grouped = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    links = grouped.select("bucket", "low", "high", "band", "rep", "block", "items", "levels").mapInArrow(partial(_links, plan), "a long, b long").unionByName(stars)
-    found = components(links)
-    roots = cut(classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component_id")), "roots")
-    with_set = known.join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
-    rest = sketches.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_set.unionByName(rest).withColumn("kept", F.expr("doc_id <=> component_id"))
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes, "classes")
+    twice = cut(classes.where("n > 1").select("set_key", "rep"), "twice")
+    twice = bounded(twice, BROADCAST_ROWS)
+    heads = known.join(twice, "set_key", "left").where("rep IS NULL OR doc_id = rep").select("doc_id", "raw", "set_key", "n_shingles", "bands")
+    found = components(links_of(texts, heads, plan))
+    named = found.join(classes, found["node"] == classes["set_key"]).select("node", "root", "rep")
+    least = cut(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    linked = cut(named.join(least, "root").select(F.col("node").alias("set_key"), "least"), "linked")
+    release(classes, least)
+    with_set = known.join(twice, "set_key", "left").join(bounded(linked, BROADCAST_ROWS), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"), "set_key", "raw")
+    rest = sketches.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_key", "raw")
+    return with_set.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "set_key", "raw")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("set_key", "raw")

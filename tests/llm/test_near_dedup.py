@@ -84,20 +84,53 @@ def test_recall_of_the_bands():
             assert (N.band_hashes(a) == N.band_hashes(b)).any()
 
 
-@pytest.mark.parametrize("block", [N.BLOCK, 16])
-def test_groups_equal_brute_force(spark, monkeypatch, block):
-    """Small groups, and one with more members than a block, linked through chains."""
+def test_recall_for_small_sets():
+    """Of sets of 7 to 40 shingles that are linked."""
+    r = np.random.default_rng(6)
+    for n in range(7, 41):
+        k = n * 15 // 185  # the most that may differ on either side
+        for _ in range(40):
+            pool = r.integers(0, 1 << 63, n + k, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[k:])
+            assert N.PLAN.linked(a, b)
+            x, y = N.registers(a), N.registers(b)
+            assert (N.band_hashes(x) == N.band_hashes(y)).any()
+            assert N.likely((x > y).sum(keepdims=True), (x < y).sum(keepdims=True), n, np.array([float(n)]))[0]
+
+
+@pytest.mark.parametrize("block, group", [(N.BLOCK, N.GROUP), (N.BLOCK, 1), (16, 1), (16, 20)])
+def test_groups_equal_brute_force(spark, monkeypatch, block, group):
+    """As neighbourhoods, bucket by bucket, and with one of more members than a block, linked through chains."""
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "GROUP", group)
+    monkeypatch.setattr(N, "STAR", block)
     texts = [*variants(1, 90, 120, (0, 4)), *variants(2, 30, 60, (1, 6)), *variants(3, 5, 300, (0, 2)), "", "a b", "a b", "A b", "a b c"]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
-    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("set_key", "raw")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    """As with more classes than may be broadcast."""
+    monkeypatch.setattr(N, "BROADCAST_ROWS", -1)
+    rows = list(enumerate([*variants(1, 40, 120, (0, 4)), *variants(2, 20, 60, (1, 6)), "a b", "a b"]))
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("set_key", "raw")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_one_id_with_several_texts(spark):
+    """Links of every text count, whatever order rows come in."""
+    groups = [list(variants(k, 2, 200, (0, 1))) for k in range(12)]
+    rows = [(5, a) for a, _ in groups] + [(100 + k, b) for k, (_, b) in enumerate(groups)] + [(5, groups[0][0])]
+    for some in (rows, rows[::-1]):
+        got = N.near_groups(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert {r["component_id"] for r in got} == {5} and sum(r["kept"] for r in got) == 13
+
+
 def test_edges(edges, empty):
     rows = [(r[0], r[1]) for r in EDGES if r[0] != 7]
     got = N.near_groups(edges.where("doc_id IS NULL OR doc_id <> 7"))
-    assert sorted(((a, b, c, d) for a, b, c, d in got.collect()), key=repr) == brute(rows)
+    assert sorted(((a, b, c, d) for a, b, c, d, *_ in got.collect()), key=repr) == brute(rows)
     seven = N.near_groups(edges.where("doc_id = 7")).collect()
     assert [(r["component_id"], r["kept"]) for r in seven] == [(7, True)] * 2
     assert N.near_groups(empty).collect() == []
