@@ -1,9 +1,8 @@
 """URL filters by a sorted digest array.
 
 A rule is a host and a path prefix, such as example.net/en/, with block or allow. The rules' keys are hashed with 64-bit xxhash and
-kept as one sorted array of digests beside the keys' verdicts and full strings, in a file of the shared folder that tasks map into
-memory. A URL's keys
-are its host and all its parent domains, each with the prefixes of its path in the lengths that the rules have; all keys of a batch
+kept as one sorted array of digests beside the keys' verdicts and full strings, in a file of the shared folder that workers map into
+memory; where the store can't be mapped, a worker maps a copy that it makes once and that has no name. A URL's keys are its host and all its parent domains, each with the prefixes of its path in the lengths that the rules have; all keys of a batch
 are probed by one vectorised binary search, and a hit counts only if the stored string is the key, so a colliding digest decides
 nothing. The longest rule that fits wins, of equally long ones that with the longer host; without one the filter's default holds (allow).
 
@@ -15,6 +14,7 @@ repeated page_id are judged one by one. Extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -32,7 +32,8 @@ from .common import scratch, small_batches
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEFAULT = "allow"
 MAGIC = b"RLURLSET"
-HEADER = struct.Struct("<8sQQ")
+HEADER = struct.Struct("<8sQQQ")  # then the number of rules, bytes of their keys, and how many lengths their paths have
+COPY = 4 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,13 +42,14 @@ def digest(key: str) -> int:
 
 
 def build(rules: Iterable[tuple[str, str]]) -> bytes:
-    """The array as a file: header, digests in order, where each key ends, verdicts, keys. A rule that comes twice keeps its last verdict."""
+    """The array as a file: header, lengths, digests in order, where each key ends, verdicts, keys. A rule that comes twice keeps its last verdict."""
     last = {key.partition("/")[0].translate(_LOWER) + "/" + key.partition("/")[2]: verdict for key, verdict in rules}
     order = sorted((digest(k), k) for k in last)
     blobs = [k.encode("utf-8", "surrogatepass") for _, k in order]
     ends = np.cumsum([len(b) for b in blobs], dtype=np.uint64) if blobs else np.empty(0, np.uint64)
     text = b"".join(blobs)
-    return HEADER.pack(MAGIC, len(order), len(text)) + np.array([d for d, _ in order], "<u8").tobytes() + ends.astype("<u8").tobytes() + bytes(last[k] == "block" for _, k in order) + text
+    lengths = sorted({len(k.partition("/")[2]) + 1 for k in last})
+    return HEADER.pack(MAGIC, len(order), len(text), len(lengths)) + np.array(lengths, "<u8").tobytes() + np.array([d for d, _ in order], "<u8").tobytes() + ends.astype("<u8").tobytes() + bytes(last[k] == "block" for _, k in order) + text
 
 
 @dataclass
@@ -60,21 +62,21 @@ class DigestArray:
 
     @classmethod
     def open(cls, path: str) -> DigestArray:
-        """Maps the file into memory where it is on a mounted store, and reads it where it isn't."""
         store, name = fs.FileSystem.from_uri(path)
         if isinstance(store, fs.LocalFileSystem):
             data = np.memmap(name, np.uint8, "r")
         else:
-            with store.open_input_file(name) as f:
-                data = np.frombuffer(f.read(), np.uint8)
-        magic, n, size = HEADER.unpack(bytes(data[: HEADER.size]))
+            with store.open_input_stream(name) as f, tempfile.TemporaryFile() as own:
+                while piece := f.read(COPY):
+                    own.write(piece)
+                own.flush()
+                data = np.memmap(own, np.uint8, "r")  # lasts after the file is closed
+        magic, n, size, lengths = HEADER.unpack(bytes(data[: HEADER.size]))
         if magic != MAGIC:
             raise ValueError(f"{path} isn't a digest array")
-        at = HEADER.size
         view = lambda kind, count, start: np.ndarray(count, kind, data, start)
-        out = cls(view("<u8", n, at), view("<u8", n, at + 8 * n), view("u1", n, at + 16 * n), view("u1", size, at + 17 * n), [])
-        out.lengths = sorted({len(out.key(i).partition("/")[2]) + 1 for i in range(n)})
-        return out
+        at = HEADER.size + 8 * lengths
+        return cls(view("<u8", n, at), view("<u8", n, at + 8 * n), view("u1", n, at + 16 * n), view("u1", size, at + 17 * n), view("<u8", lengths, HEADER.size).tolist())
 
     def key(self, i: int) -> str:
         start = int(self.ends[i - 1]) if i else 0
@@ -132,8 +134,19 @@ def judge(array: DigestArray, urls: list[str | None], default: str = DEFAULT) ->
     return [(host, path, array.key(best[i]), "block" if array.blocks[best[i]] else "allow") if i in best else (host, path, None, default) for i, (host, path) in enumerate(parts)]
 
 
+_open: dict[str, DigestArray] = {}
+
+
+def _array(path: str) -> DigestArray:
+    """One for each worker process, the last used."""
+    if path not in _open:
+        _open.clear()
+        _open[path] = DigestArray.open(path)
+    return _open[path]
+
+
 def _judge(path: str, default: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    array = DigestArray.open(path)
+    array = _array(path)
     for batch in batches:
         rows = judge(array, batch.column(1).to_pylist(), default)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.string()) for k in range(4))], schema=_JUDGED)
@@ -159,7 +172,7 @@ def op4_url_filter(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
-part AS (SELECT page_id, lower(CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE rest END) AS host, CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut),
+part AS (SELECT page_id, translate(CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE rest END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut),
 told AS (SELECT *, CASE
   WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
