@@ -5,8 +5,10 @@ or more) and hex (runs of 16 or more). The pieces between matches and the matche
 code points. Beside them, long runs of mixed letters and digits are candidates.
 
 Every value is hashed, and for each hash the corpus tells how many repositories (source and lang) and how many owners (source) hold it.
-A value that WIDE or more owners share is a widely copied example; one that few hold is live-looking. Candidates that no base span
-overlaps become spans of kind live if they are live-looking; base spans stay, and n_live and n_copied tell the two apart.
+A value that WIDE or more owners share is a widely copied example. One of fewer owners that stands in SPREAD or more repositories of
+theirs, for each owner, is what they put everywhere (a project's number, a public key), for a credential belongs to one place or few. The
+rest is live-looking. Candidates that no base span overlaps become spans of kind live if they are live-looking; base spans stay, and
+n_live, n_copied and n_spread tell the three apart.
 
 Spans name the whole match. Null text counts as empty. Null sources and langs count as an owner or repository of their own. Rows
 that repeat a doc_id are scanned one by one, rows with a null doc_id too. Extra columns are ignored; an empty table gives an empty
@@ -31,8 +33,9 @@ MIXED = r"[A-Za-z0-9+/_-]{20,}"
 RULES = (ASSIGN, ACCESS, HEX, MIXED)
 GROUPS = (2, 0, 0, 0)
 LEAST = 12
-#: Owners from which on a value counts as widely copied.
-WIDE = 3
+#: Owners from which on a value counts as widely copied, and repositories of each owner from which on it counts as put everywhere.
+WIDE, SPREAD = 3, 3
+LIVE, COPIED, EVERYWHERE = range(3)
 #: Elements whose lengths are summed one by one; sums over whole blocks of them come from the block's start.
 BLOCK = 64
 
@@ -91,21 +94,23 @@ _JOINED = "array_join(transform({0}, x -> concat_ws(':', element_at(array(" + ",
 
 
 def secrets(documents: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_spread of every row."""
     found = cut(spans(documents), "spans")
     owners = cut(ownership(found), "owners")
     each = found.select("rid", F.explode(F.concat("base", "more")).alias("x")).select("rid", "x.*")
-    known = each.join(owners.select("hash", "n_owners"), "hash").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.when(F.col("n_owners") >= WIDE, 1).otherwise(0).alias("copied")))).alias("known"))
+    what = F.when(F.col("n_owners") >= WIDE, COPIED).when(F.col("n_repositories") >= SPREAD * F.col("n_owners"), EVERYWHERE).otherwise(LIVE)
+    known = each.join(owners.select("hash", what.alias("what")), "hash").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "what"))).alias("known"))
     some = found.where("size(base) + size(more) > 0").join(known, "rid").select("doc_id", "base", "known")
-    none = found.where("size(base) + size(more) = 0").select("doc_id", "base", F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,copied:int>>)").alias("known"))
-    count = lambda what: F.expr(f"CAST(size({what}) AS BIGINT)")
+    none = found.where("size(base) + size(more) = 0").select("doc_id", "base", F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,what:int>>)").alias("known"))
+    count = lambda some: F.expr(f"CAST(size({some}) AS BIGINT)")
     return some.unionByName(none).select(
         "doc_id",
         *(count(f"filter(base, x -> x.kind = {k})").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])),
         F.sha2(F.expr(_JOINED.format("base")).cast("binary"), 256).alias("base_sha256"),
-        F.expr(_JOINED.format("filter(known, x -> x.kind < 3 OR x.copied = 0)")).alias("spans"),
-        count("filter(known, x -> x.copied = 0)").alias("n_live"),
-        count("filter(known, x -> x.copied = 1 AND x.kind < 3)").alias("n_copied"),
+        F.expr(_JOINED.format(f"filter(known, x -> x.kind < 3 OR x.what = {LIVE})")).alias("spans"),
+        count(f"filter(known, x -> x.what = {LIVE})").alias("n_live"),
+        count(f"filter(known, x -> x.what = {COPIED} AND x.kind < 3)").alias("n_copied"),
+        count(f"filter(known, x -> x.what = {EVERYWHERE} AND x.kind < 3)").alias("n_spread"),
     )
 
 
@@ -130,13 +135,13 @@ matched AS (SELECT rid, kind, v, (stop - length(m))::BIGINT AS start, stop::BIGI
   AND (kind < 3 OR regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]'))),
 base AS (SELECT * FROM matched WHERE kind < 3),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM matched c WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.stop AND c.start < b.stop)),
-owners AS (SELECT v, count(DISTINCT owner) AS n_owners FROM found JOIN d USING (rid) GROUP BY v),
-told AS (SELECT rid, kind, start, stop, n_owners >= {WIDE} AS copied, {names} || ':' || start || ':' || stop AS span FROM found JOIN owners USING (v)),
+owners AS (SELECT v, CASE WHEN count(DISTINCT owner) >= {WIDE} THEN {COPIED} WHEN count(DISTINCT repository) >= {SPREAD} * count(DISTINCT owner) THEN {EVERYWHERE} ELSE {LIVE} END AS what FROM found JOIN d USING (rid) GROUP BY v),
+told AS (SELECT rid, kind, start, stop, what, {names} || ':' || start || ':' || stop AS span FROM found JOIN owners USING (v)),
 row_ AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS spans,
-  count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied AND kind < 3) AS n_copied FROM told GROUP BY rid)
+  string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR what = {LIVE}) AS spans,
+  count(*) FILTER (what = {LIVE}) AS n_live, count(*) FILTER (what = {COPIED} AND kind < 3) AS n_copied, count(*) FILTER (what = {EVERYWHERE} AND kind < 3) AS n_spread FROM told GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_spread, 0) AS n_spread
 FROM d LEFT JOIN row_ USING (rid)
 """
 

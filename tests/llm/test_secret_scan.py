@@ -48,6 +48,16 @@ def test_owners_decide(spark):
     assert got[11]["spans"] == "assign:0:28" and got[11]["n_live"] == 1 and got[12]["spans"] == "assign:0:28" and got[12]["n_copied"] == 1
 
 
+def test_repositories_decide(spark):
+    """Of two values that one owner alone has, the one in each of its repositories is no credential; many owners with one each are another matter."""
+    everywhere, own, few = "EveRYwhere0123456789xY", "ZyxWVU9876543210tsrQPO", "FewOWNers0123456789abC"
+    rows = [(i, f"see {everywhere} and token={everywhere}", lang, "s") for i, lang in enumerate(("en", "de", "fr"))]
+    rows += [(10, f"x {own} y", "en", "s"), (11, f"x {own} y", "de", "s"), (20, f"x {few} y", "en", "s1"), (21, f"x {few} y", "de", "s2")]
+    got = {r["doc_id"]: r for r in S.secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["spans"] == "assign:31:59" and got[i]["n_spread"] == 1 and got[i]["n_live"] == got[i]["n_copied"] == 0 for i in range(3))
+    assert all(got[i]["spans"] == "live:2:24" and got[i]["n_live"] == 1 for i in (10, 11, 20, 21))
+
+
 def test_no_python_in_the_plan(spark, edges):
     plan = S.secrets(edges)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
