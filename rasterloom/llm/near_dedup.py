@@ -20,8 +20,9 @@ to carriage return); a shorter text is one shingle, a text without words has the
    its links, never its pairs.
 4. Links become components by alternating large-star and small-star.
 
-Null text counts as empty. Rows with a null doc_id are returned with a null component and kept. Rows that repeat a doc_id are judged
-by their own texts, which are classes of their own. Extra columns are ignored; an empty table gives an empty result.
+Null text counts as empty. Rows with a null doc_id are linked like all others, but never give a component its name; one of such rows
+alone has a null component and all its rows count as kept (group_key tells it from others). Rows that repeat a doc_id are judged by
+their own texts, which are classes of their own. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -404,7 +405,7 @@ def links_of(texts: DataFrame, heads: DataFrame, plan: Plan) -> DataFrame:
     wanted = held.join(chosen.select("key").distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "raw", "n_shingles")).alias("row"))
     wanted = cut(wanted.select("key", F.col("row.doc_id").alias("id"), F.col("row.raw").alias("id_raw"), F.col("row.n_shingles").alias("size")), "wanted")
     named = bounded(wanted, BROADCAST_ROWS)
-    full = cut(texts.join(named, (texts["doc_id"] == named["id"]) & (texts["raw"] == named["id_raw"])).select("key", "text").mapInArrow(partial(_full, plan), "key string, items binary, levels binary"), "sets")
+    full = cut(texts.join(named, texts["doc_id"].eqNullSafe(named["id"]) & (texts["raw"] == named["id_raw"])).select("key", "text").mapInArrow(partial(_full, plan), "key string, items binary, levels binary"), "sets")
     release(shared, held, placed)
     # neighbourhoods: what buckets connect
     leaders = cut(chosen.groupBy("bucket").agg(F.min("key").alias("leader")), "leaders")
@@ -424,7 +425,8 @@ def links_of(texts: DataFrame, heads: DataFrame, plan: Plan) -> DataFrame:
 
 
 def near_groups(documents: DataFrame, per_cent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, set_key, raw of every row; sets are linked from a similarity of per_cent.
+    """doc_id, n_shingles, component_id, kept, group_key, raw of every row; sets are linked from a similarity of per_cent. group_key: the same
+    for all rows of a component, null for empty sets.
 
     Shuffles: numbers of buckets, partly aggregated; once, the sets and registers of classes that share a bucket. Texts and bands stay
     where they are unless more than BROADCAST_ROWS classes are wanted of them.
@@ -434,23 +436,22 @@ def near_groups(documents: DataFrame, per_cent: int = 85) -> DataFrame:
     # what names a row is its doc_id and a hash of its text, for a doc_id may come with several texts
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.octet_length("text"), "text").alias("raw"), "text")
     sketches = cut(texts.mapInArrow(partial(_sketch, plan), "doc_id long, raw long, n_shingles long, set_key string, bands array<long>"), "sketches")
-    known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = cut(classes, "classes")
-    twice = cut(classes.where("n > 1").select("set_key", "rep"), "twice")
-    twice = bounded(twice, BROADCAST_ROWS)
-    heads = known.join(twice, "set_key", "left").where("rep IS NULL OR doc_id = rep").select("doc_id", "raw", "set_key", "n_shingles", "bands")
+    known = sketches.where("set_key IS NOT NULL")
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    twice = bounded(cut(classes.where("n > 1"), "twice"), BROADCAST_ROWS)
+    heads = known.join(twice, "set_key", "left").where("n IS NULL OR doc_id <=> rep").select("doc_id", "raw", "set_key", "n_shingles", "bands")
     found = components(links_of(texts, heads, plan))
     named = found.join(classes, found["node"] == classes["set_key"]).select("node", "root", "rep")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
-    linked = cut(named.join(least, "root").select(F.col("node").alias("set_key"), "least"), "linked")
+    linked = cut(named.join(least, "root").select(F.col("node").alias("set_key"), "root", "least"), "linked")
     release(classes, least)
-    with_set = known.join(twice, "set_key", "left").join(bounded(linked, BROADCAST_ROWS), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"), "set_key", "raw")
-    rest = sketches.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_key", "raw")
-    return with_set.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "set_key", "raw")
+    with_set = known.join(twice, "set_key", "left").join(bounded(linked, BROADCAST_ROWS), "set_key", "left")
+    with_set = with_set.select("doc_id", "n_shingles", F.expr("CASE WHEN root IS NOT NULL THEN least WHEN n IS NOT NULL THEN rep ELSE doc_id END").alias("component_id"), F.coalesce("root", "set_key").alias("group_key"), "raw")
+    rest = sketches.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("group_key"), "raw")
+    return with_set.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "group_key", "raw")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_groups(table(spark, sf_dir, "documents")).drop("set_key", "raw")
+    return near_groups(table(spark, sf_dir, "documents")).drop("group_key", "raw")

@@ -28,14 +28,14 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
+            if sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
                 if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                     parent[find(i)] = find(j)
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i)]
-        root = min(ids) if None not in ids else None
+        root = min((x for x in ids if x is not None), default=None)
         out.append((doc, len(sets[i]), root, doc == root))
     return sorted(out, key=repr)
 
@@ -106,7 +106,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, block, group):
     monkeypatch.setattr(N, "STAR", block)
     texts = [*variants(1, 90, 120, (0, 4)), *variants(2, 30, 60, (1, 6)), *variants(3, 5, 300, (0, 2)), "", "a b", "a b", "A b", "a b c"]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
-    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("set_key", "raw")
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("group_key", "raw")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
@@ -114,10 +114,20 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     """As with more classes than may be broadcast."""
     monkeypatch.setattr(N, "BROADCAST_ROWS", -1)
     rows = list(enumerate([*variants(1, 40, 120, (0, 4)), *variants(2, 20, 60, (1, 6)), "a b", "a b"]))
-    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("set_key", "raw")
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("group_key", "raw")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+def test_rows_without_an_id(spark):
+    """Linked like all others; a component of nothing else has a key, but no id."""
+    one, two, three = (list(variants(k, 2, 200, (0, 1))) for k in (31, 32, 33))
+    rows = [(None, one[0]), (4, one[1]), (None, two[0]), (None, two[1]), (None, three[0]), (None, three[0]), (None, ""), (None, None)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.drop("group_key", "raw").collect()), key=repr) == brute(rows)
+    keys = [r["group_key"] for r in got.where("group_key IS NOT NULL").collect()]
+    assert len(keys) == 6 and sorted(map(keys.count, set(keys))) == [2, 2, 2]
+
+
 def test_one_id_with_several_texts(spark):
     """Links of every text count, whatever order rows come in."""
     groups = [list(variants(k, 2, 200, (0, 1))) for k in range(12)]

@@ -1,16 +1,17 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline as C
-from rasterloom.llm import byte_bpe, toxicity
+from rasterloom.llm import byte_bpe, decontaminate, toxicity
 
-from .test_decontaminate import brute as overlaps
 from .test_exact_dedup import white
-from .test_near_dedup import brute as near
+from .test_near_threshold import kept_ids
 
 
 def test_stages():
@@ -27,10 +28,14 @@ def test_run_equals_brute_force(spark, sf):
     for d, t in rows.items():
         groups[white(t)].append(d)
     rows = {d: rows[d] for d in map(min, groups.values())}
-    rows = {d: rows[d] for d, _, _, kept in near(list(rows.items())) if kept}
+    rows = {d: rows[d] for d in kept_ids(list(rows.items()), C.NEAR)}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    # brute force over all diagonals is for short texts; longer ones are cut only here, round the items' first words
-    found = {d for d, t in rows.items() for i, x in items if x[:40].lower() in t.lower() or overlaps([(d, t)], [(i, x)]) if len(t) < 600 or x in t}
+    # without seeds: every pair of equal tokens in SQL
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": list(rows), "text": list(rows.values())}))
+    c.register("benchmark", pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}))
+    found = {r[0] for r in c.execute(decontaminate.ORACLE).fetchall()}
+    assert found
     ranks = byte_bpe.tokenizer(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN).ranks
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((d, len(library.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows.items() if d not in found)
@@ -45,11 +50,28 @@ def test_edges(spark, edges, empty, sf, name):
     if name != "byte_bpe":
         assert got.schema == edges.schema
     ids = [r["doc_id"] for r in got.select("doc_id").collect()]
-    assert ids.count(None) == 2
     if name == "exact_dedup":
-        assert sorted(i for i in ids if i is not None) == [1, 3, 4, 7, 7, 8, 10, 11, 12]
+        # nothing (1, 2 and a null id), white space, the ten words (4 to 6), and one of the two long texts
+        assert sorted(i for i in ids if i is not None) == [1, 3, 4, 7, 7, 8, 10, 11, 12] and ids.count(None) == 1
     elif name == "near_dedup":
-        assert sorted(set(i for i in ids if i is not None)) == [1, 2, 3, 4, 7, 8, 10, 11, 12]
+        assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 7, 7, 8, 10, 11, 12] and ids.count(None) == 2
     else:
         assert len(ids) == edges.count()
     assert stage(spark, empty, sf).collect() == []
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "near_dedup"])
+def test_decisions_are_made_row_by_row(spark, name):
+    """A row goes or stays for its own text, whatever other rows with its doc_id are."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a, "x"), (7, a, "y"), (7, b, "z"), (None, b, "u"), (None, c, "v"), (None, c, "w"), (9, None, "t"), (9, None, "t")], "doc_id long, text string, row_raw string")
+    got = sorted(((r["doc_id"], r["text"]) for r in dict(C.STAGES)[name](spark, docs, "").collect()), key=repr)
+    empty = [(9, None)] * (1 if name == "exact_dedup" else 2)
+    assert got == sorted([(1, a), (7, b), (None, c), *empty], key=repr)
+
+
+def test_decontamination_judges_every_row(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(1, f"before {item} after"), (1, "a clean text"), (None, item), (None, "another clean text"), (2, None)], "doc_id long, text string")
+    got = sorted(map(tuple, C.decontaminate(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([(1, "a clean text"), (None, "another clean text"), (2, None)], key=repr)
