@@ -186,6 +186,10 @@ def rows_per_chunk(chunk_size: Column, stride_: Column) -> Column:
     return ceil_div(chunk_size, stride_ + 1)
 
 
+def halo(stride_: Column) -> Column:
+    return ceil_div(F.lit(WINDOW), stride_ + 1) + 1
+
+
 def chunks_total(height: Column, rows: Column) -> Column:
     return ceil_div(height, rows)
 
@@ -213,3 +217,25 @@ def transparency_accepted(color_type: Column, length: Column, palette_bytes: Col
         .when(color_type == int(ColorType.INDEXED), F.coalesce((length > 0) & (length * 3 <= palette_bytes), F.lit(False)))
         .otherwise(False)
     )
+
+
+def side_problem(color_type: Column, side: Column) -> Column:
+    """What is wrong with an image's side data, or null. side: array of (position, tag, data) in order."""
+    named = lambda tag: F.filter(side, lambda s: s["tag"] == tag)
+    place = lambda tag: F.array_position(F.transform(side, lambda s: s["tag"]), tag)
+    palette = F.octet_length(F.get(named("PLTE"), F.lit(0))["data"])
+    return (
+        F.when(F.exists(side, lambda s: F.octet_length(s["tag"].cast("binary")) != 4), "a tag has four bytes")
+        .when(F.size(named("PLTE")) > 1, "an image has one palette")
+        .when(F.coalesce(~palette_accepted(palette, F.lit(False)), F.lit(False)), "a palette holds whole entries of three bytes")
+        .when((place("tRNS") > 0) & (place("tRNS") < place("PLTE")), "a palette comes before transparency")
+        .when((color_type == int(ColorType.INDEXED)) & (F.size(named("PLTE")) == 0), "indexed rows need a palette")
+        .when(F.exists(named("tRNS"), lambda s: ~transparency_accepted(color_type, F.octet_length(s["data"]), palette)), "transparency doesn't fit the color type or palette")
+    )
+
+
+def header_problem(width: Column, height: Column, depth: Column, color_type: Column) -> Column:
+    """What is wrong with a header, or null."""
+    most = (1 << 32) - 1
+    fits = lambda x: F.coalesce(x.between(1, most), F.lit(False))
+    return F.when(~fits(width) | ~fits(height), "width and height are from 1 to 2**32 - 1").when(~F.coalesce(depth_valid(color_type, depth), F.lit(False)), "the color type hasn't this depth")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.spec import WINDOW, RasterSpec
+from ..functions.spec import WINDOW
 
 
 def ranges(images: DataFrame) -> DataFrame:
@@ -23,15 +23,14 @@ def ranges(images: DataFrame) -> DataFrame:
     )
 
 
-def with_halo(rows: DataFrame, spec: RasterSpec, chunk_size: int) -> DataFrame:
-    """Adds chunk_id and own. A row goes to its own chunk, and as halo to every later chunk that starts within halo() rows after it,
+def with_halo(rows: DataFrame, rows_per_chunk: Column, halo: Column, chunks: Column) -> DataFrame:
+    """Adds chunk_id and own. A row goes to its own chunk, and as halo to every later chunk that starts within halo rows after it,
     so that chunk can be filtered and compressed from its group alone: its own rows, the rows that rebuild the predecessor's last
-    32 KiB, and the row above those."""
-    rpc, halo = spec.rows_per_chunk(chunk_size), spec.halo()
-    own = F.floor(F.col("y") / rpc)
-    last = F.least(F.floor((F.col("y") + halo) / rpc), F.lit(spec.chunks(chunk_size) - 1))
+    32 KiB, and the row above those. The numbers may differ from image to image."""
+    own = F.floor(F.col("y") / rows_per_chunk)
+    last = F.least(F.floor((F.col("y") + halo) / rows_per_chunk), chunks - 1)
     sent = rows.select("*", F.explode(F.sequence(own, F.greatest(own, last))).alias("chunk_id"))
-    return sent.withColumn("own", F.floor(F.col("y") / rpc) == F.col("chunk_id"))
+    return sent.withColumn("own", F.floor(F.col("y") / rows_per_chunk) == F.col("chunk_id"))
 
 
 def prior_pairs(chunks: DataFrame) -> DataFrame:

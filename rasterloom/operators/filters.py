@@ -53,10 +53,14 @@ def filtered(kind: Filter, bpp: int, src: Column | None = None, prev: Column | N
     return F.transform(src, lambda v, i: wrap(v - paeth(_at(src, i - bpp), _at(prev, i), _at(prev, i - bpp))))
 
 
+def limited(total: Column, size: Column) -> Column:
+    """The cost of a row of so many bytes, held to its limit where 32 bits could overflow."""
+    return F.when(size >= BIG_ROW, F.least(total, F.lit(MOST_COST))).otherwise(total)
+
+
 def complexity(values: Column) -> Column:
     """Sum of the distances of filtered bytes from 0 modulo 256."""
-    total = F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + F.least(v, 256 - v))
-    return F.when(F.size(values) >= BIG_ROW, F.least(total, F.lit(MOST_COST))).otherwise(total)
+    return limited(F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + F.least(v, 256 - v)), F.size(values))
 
 
 CANDIDATES = (Filter.SUB, Filter.UP, Filter.AVERAGE, Filter.PAETH)

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytes import adler32_combine, be32, frame, u8
-from ..functions.spec import SIGNATURE
+from ..functions.spec import SIGNATURE, header_problem, side_problem
 
-#: Where a frame stands: signature and header, side data in the order given, image data, end.
-HEAD, SIDE, DATA, TAIL, END = range(5)
 MOST_DATA = (1 << 32) - 1
+_SIDE = "array<struct<position:bigint,tag:string,data:binary>>"
 
 
 def header_bytes(width: Column, height: Column, depth: Column, color_type: Column) -> Column:
@@ -20,39 +18,83 @@ def header_bytes(width: Column, height: Column, depth: Column, color_type: Colum
     return F.concat(F.unhex(F.lit(SIGNATURE.hex())), frame(F.lit(b"IHDR"), body))
 
 
-def combined_adler(chunks: DataFrame) -> DataFrame:
-    """image_id, adler, n_chunks: the chunks' checksums folded in order. A few numbers for each chunk reach one group."""
+def combined_adler(chunks: DataFrame, *more: Column) -> DataFrame:
+    """image_id, adler, n_chunks, and what else is aggregated: the chunks' checksums folded in order. A few numbers for each chunk reach one group."""
     parts = F.collect_list(F.struct("chunk_id", F.col("n_bytes").alias("n"), "adler"))
-    return chunks.groupBy("image_id").agg(adler32_combine(parts).alias("adler"), F.count(F.lit(1)).alias("n_chunks"))
+    return chunks.groupBy("image_id").agg(adler32_combine(parts).alias("adler"), F.count(F.lit(1)).alias("n_chunks"), *more)
+
+
+def side_of(images: DataFrame) -> DataFrame:
+    """image_id, position, tag, data of the palette and transparency columns of a table of images, where they are."""
+    parts = [F.struct(F.lit(k).cast("long").alias("position"), F.lit(tag).alias("tag"), F.col(name).alias("data")) for k, (tag, name) in enumerate((("PLTE", "palette"), ("tRNS", "transparency"))) if name in images.columns]
+    one = F.explode(F.filter(F.array(*parts) if parts else F.array().cast(_SIDE), lambda s: s["data"].isNotNull()))
+    return images.select("image_id", one.alias("s")).select("image_id", "s.*")
+
+
+def _frame(ordinal: Column, tag: Column, data: Column) -> Column:
+    return F.struct(ordinal.cast("long").alias("ordinal"), tag.alias("tag"), data.alias("frame"))
+
+
+def headed(images: DataFrame, side: DataFrame | None) -> DataFrame:
+    """A row for each image: header columns, side data in order, n_side; wrong ones are an error. Two headers for one image are, too."""
+    names = ("width", "height", "depth", "color_type")
+    one = images.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names))
+    if side is None:
+        one = one.withColumn("side", F.array().cast(_SIDE))
+    else:
+        given = side.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "tag", "data"))).alias("side"))
+        one = one.join(given, "image_id", "left").withColumn("side", F.coalesce("side", F.array().cast(_SIDE)))
+    problem = F.coalesce(F.when(F.col("n") > 1, "an image has one header"), header_problem(*map(F.col, names)), side_problem(F.col("color_type"), F.col("side")))
+    return one.withColumn("n_side", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.size("side"))).drop("n")
+
+
+def _around(images: DataFrame, totals: DataFrame, streaming: bool) -> DataFrame:
+    """image_id and parts: its frames in order but for the data frames of single chunks, as (ordinal, tag, frame). totals: combined_adler()
+    with n_rows, and joined bytes if buffered. An image whose rows aren't all there is an error."""
+    told = images.join(totals, "image_id", "left")
+    lacks = F.coalesce(F.col("n_rows"), F.lit(0)) != F.col("height")
+    header = F.when(lacks, F.raise_error(F.lit("an image lacks rows or has some twice"))).otherwise(header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type")))
+    sides = F.transform("side", lambda s, i: _frame(i + 1, s["tag"], frame(s["tag"].cast("binary"), s["data"])))
+    ending = F.when(F.col("n_chunks") > 1, be32(F.col("adler"))).otherwise(F.lit(b""))
+    data, after = (ending, F.col("n_chunks")) if streaming else (F.concat("joined", ending), F.lit(0))
+    at = F.col("n_side") + 1 + after
+    rest = F.array(_frame(at, F.lit("IDAT"), frame(F.lit(b"IDAT"), data)), _frame(at + 1, F.lit("IEND"), frame(F.lit(b"IEND"), F.lit(b""))))
+    return told.select("image_id", F.concat(F.array(_frame(F.lit(0), F.lit("IHDR"), header)), sides, rest).alias("parts"))
+
+
+def _totals(chunks: DataFrame, streaming: bool) -> DataFrame:
+    more = [F.sum(F.col("end_row") - F.col("start_row")).alias("n_rows")]
+    if not streaming:
+        more.append(F.expr("listagg(deflated, X'') WITHIN GROUP (ORDER BY chunk_id)").alias("joined"))
+    return combined_adler(chunks, *more)
 
 
 def frames(images: DataFrame, chunks: DataFrame, streaming: bool, side: DataFrame | None = None) -> DataFrame:
     """image_id, ordinal, tag, frame. images: image_id, width, height, depth, color_type. side: image_id, position, tag, data.
 
-    Buffered: one data frame for the image, the checksum at its end if there were several chunks (a lone chunk ends with its own).
-    Streaming: one for each chunk, then one with the checksum, empty after a lone chunk.
+    Buffered: one data frame for the image, the checksum at its end if there were several chunks (a lone chunk ends with its own). Chunks
+    are read once, by one aggregation.
+    Streaming: one for each chunk, then one with the checksum, empty after a lone chunk. Chunks are read for their numbers and for their
+    bytes, so they should be a written table; a chunk's frame is made where the chunk is, and its place follows from its number.
     """
-    zero = F.lit(0).cast("long")
-    parts = [images.select("image_id", F.lit(HEAD).alias("section"), zero.alias("position"), F.lit("IHDR").alias("tag"), header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type")).alias("frame"))]
-    if side is not None:
-        parts.append(side.select("image_id", F.lit(SIDE).alias("section"), F.col("position").cast("long").alias("position"), "tag", frame(F.col("tag").cast("binary"), F.col("data")).alias("frame")))
-    total = combined_adler(chunks)
-    ending = F.when(F.col("n_chunks") > 1, be32(F.col("adler"))).otherwise(F.lit(b""))
-    if streaming:
-        parts.append(chunks.select("image_id", F.lit(DATA).alias("section"), F.col("chunk_id").alias("position"), F.lit("IDAT").alias("tag"), frame(F.lit(b"IDAT"), F.col("deflated")).alias("frame")))
-        parts.append(total.select("image_id", F.lit(TAIL).alias("section"), zero.alias("position"), F.lit("IDAT").alias("tag"), frame(F.lit(b"IDAT"), ending).alias("frame")))
+    heads = headed(images, side)
+    around = _around(heads, _totals(chunks, streaming), streaming).select("image_id", F.explode("parts").alias("p")).select("image_id", "p.*")
+    if not streaming:
+        return around
+    if side is None:
+        placed = chunks.withColumn("n_side", F.lit(0))
     else:
-        joined = chunks.groupBy("image_id").agg(F.expr("listagg(deflated, X'') WITHIN GROUP (ORDER BY chunk_id)").alias("joined"))
-        whole = joined.join(total, "image_id").select("image_id", F.concat("joined", ending).alias("data"))
-        parts.append(whole.select("image_id", F.lit(DATA).alias("section"), zero.alias("position"), F.lit("IDAT").alias("tag"), frame(F.lit(b"IDAT"), F.col("data")).alias("frame")))
-    parts.append(images.select("image_id", F.lit(END).alias("section"), zero.alias("position"), F.lit("IEND").alias("tag"), frame(F.lit(b"IEND"), F.lit(b"")).alias("frame")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    place = F.row_number().over(W.partitionBy("image_id").orderBy("section", "position")) - 1
-    return out.select("image_id", place.cast("long").alias("ordinal"), "tag", "frame")
+        placed = chunks.join(heads.select("image_id", "n_side"), "image_id")
+    each = placed.select("image_id", (F.col("n_side") + 1 + F.col("chunk_id")).cast("long").alias("ordinal"), F.lit("IDAT").alias("tag"), frame(F.lit(b"IDAT"), F.col("deflated")).alias("frame"))
+    return around.unionByName(each)
 
 
 def files(framed: DataFrame) -> DataFrame:
     """image_id, png: the frames on end. An image is one value here, of 2 GiB at most; larger ones are written frame by frame."""
     return framed.groupBy("image_id").agg(F.expr("listagg(frame, X'') WITHIN GROUP (ORDER BY ordinal)").alias("png"))
+
+
+def buffered_files(images: DataFrame, chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
+    """image_id, png in the buffered layout: one aggregation makes the file, so its bytes are moved once."""
+    parts = _around(headed(images, side), _totals(chunks, False), False)
+    return parts.select("image_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["frame"])).alias("png"))

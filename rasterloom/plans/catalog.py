@@ -182,7 +182,7 @@ def deflate_roundtrip(spark, sf_dir):
     rows, spec, out = binary(tall(spark, sf_dir)), grey(spark, sf_dir, STACK), None
     for level, strategy in LEVELS:
         options = S.EncodeOptions(S.WINDOW, level, strategy)
-        got = inflate_chunks(deflate_chunks(rows, spec, options)).select(F.lit(level).cast("long").alias("level"), F.lit(-1 if strategy is None else strategy).cast("long").alias("strategy"), "chunk_id", "inflated_len", "inflated_adler")
+        got = inflate_chunks(deflate_chunks(rows, spec, options, keep_dictionary=True)).select(F.lit(level).cast("long").alias("level"), F.lit(-1 if strategy is None else strategy).cast("long").alias("strategy"), "chunk_id", "inflated_len", "inflated_adler")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,45 +84,54 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    paths: list[str]
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
-    """Each task writes under its own name and renames whole files; a failed job takes back what it wrote."""
+    """Tasks write whole files into a folder of the job, which the commit moves to their places; a failed job leaves the target as it was.
+    Names that are there already are an error in append mode; overwriting replaces all images of the target."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path.rstrip("/"), overwrite
+        self.job = f".job-{uuid.uuid4().hex}"
 
-    def write(self, iterator) -> _Wrote:
-        import uuid
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
 
-        store, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        store.create_dir(folder, recursive=True)
+    def write(self, iterator) -> _Wrote:
+        store, folder = self._store()
+        own = f"{folder}/{self.job}/{uuid.uuid4().hex}"  # of this attempt: only a committed one is in the messages
         out = []
         for row in iterator:
-            final, own = f"{folder}/image-{row['image_id']:010d}.png", f"{folder}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(own) as f:
+            if not out:
+                store.create_dir(own, recursive=True)
+            name = f"image-{row['image_id']:010d}.png"
+            with store.open_output_stream(f"{own}/{name}") as f:
                 f.write(bytes(row["png"]))
-            store.move(own, final)
-            out.append(final)
+            out.append(f"{own}/{name}")
         return _Wrote(out)
 
     def commit(self, messages) -> None:
-        store, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        store, folder = self._store()
         store.create_dir(folder, recursive=True)
-        if self.overwrite:
-            kept = {p for m in messages if m for p in m.paths}
-            for f in store.get_file_info(fs.FileSelector(folder)):
-                if f.base_name.startswith("image-") and f.path not in kept:
-                    store.delete_file(f.path)
+        written = [p for m in messages if m for p in m.names]
+        finals = [f"{folder}/{p.rpartition('/')[2]}" for p in written]
+        there = {f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and f.base_name.startswith("image-")}
+        if twice := {p for p in finals if finals.count(p) > 1} if len(set(finals)) < len(finals) else set() if self.overwrite else there & set(finals):
+            self.abort(messages)
+            raise InvalidInput(f"{sorted(twice)[0]} would be written twice")
+        for own, final in zip(written, finals, strict=True):
+            store.move(own, final)
+        for path in there - set(finals) if self.overwrite else ():
+            store.delete_file(path)
+        self.abort(messages)
         with store.open_output_stream(f"{folder}/_SUCCESS"):
             pass
 
     def abort(self, messages) -> None:
-        store, _ = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        for m in messages:
-            for p in m.paths if m else ():
-                store.delete_file(p)
+        store, folder = self._store()
+        if store.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{folder}/{self.job}")
 
 
 class PngDataSource(DataSource):

@@ -32,9 +32,10 @@ def combine(a: int, b: int, n: int) -> int:
     return high << 16 | low
 
 
-def step(spec: RasterSpec, options: EncodeOptions, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def step(spec: RasterSpec, options: EncodeOptions, forget: bool, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows may come in any order within and across batches; a chunk goes out once all its rows and all earlier chunks are there. What
-    waits is held as rows, so the state is bounded by how far rows run ahead. A row that comes twice counts once."""
+    waits is held as rows, so the state is bounded by how far rows run ahead. A row that comes twice counts once. Of a
+    finished image a few numbers stay, or nothing with forget."""
     image_id = key[0]
     next_chunk, above, tail, adler, n_chunks, pending = state.get if state.exists else (0, bytes(spec.stride), b"", 1, 0, b"")
     record = np.dtype([("y", "<i8"), ("row", f"V{spec.stride}")])
@@ -66,11 +67,18 @@ def step(spec: RasterSpec, options: EncodeOptions, key: tuple, batches: Iterator
     if next_chunk == total and out:
         tail = above = b""
     rest = np.array([(y, np.void(r)) for y, r in sorted(held.items())], record).tobytes() if held else b""
-    state.update((next_chunk, bytes(above), bytes(tail), adler, n_chunks, rest))
+    if forget and next_chunk == total:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((next_chunk, bytes(above), bytes(tail), adler, n_chunks, rest))
     yield pd.DataFrame([{"image_id": image_id, "ordinal": k, "tag": t, "frame": f} for k, t, f in out], columns=["image_id", "ordinal", "tag", "frame"])
 
 
-def encode_stream(rows: DataFrame, spec: RasterSpec, options: EncodeOptions | None = None) -> DataFrame:
-    """A stream of image_id, ordinal, tag, frame from a stream of (image_id, y, row BINARY). Frames of an image come out in order."""
+def encode_stream(rows: DataFrame, spec: RasterSpec, options: EncodeOptions | None = None, forget: bool = False) -> DataFrame:
+    """A stream of image_id, ordinal, tag, frame from a stream of (image_id, y, row BINARY). Frames of an image come out in order.
+
+    forget: drop a finished image's state, for sources that send no row twice and many images: then state is bounded by the images under
+    way, but a row that comes for a finished image starts it anew. (A timeout would keep runs until all data is read from ending.)"""
     ship_package(rows.sparkSession)
-    return rows.select("image_id", "y", "row").groupBy("image_id").applyInPandasWithState(partial(step, spec, options or EncodeOptions(streaming=True)), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.select("image_id", "y", "row").groupBy("image_id").applyInPandasWithState(partial(step, spec, options or EncodeOptions(streaming=True), forget), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
