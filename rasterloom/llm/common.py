@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.session import shared_dir, ship_package
+from rasterloom.session import cut, release, remove, scratch, shared_dir, ship_package
+
+__all__ = ["ARROW_BYTES", "bounded", "components", "cut", "release", "remove", "scratch", "shared_dir", "small_batches", "table"]
 
 #: Bytes in an Arrow batch (a longer row is a batch of its own); a lower setting of the session stays.
 ARROW_BYTES = 4 << 20
@@ -28,55 +26,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, under the application's name. What is there when this process ends goes with it; what a killed
-    driver leaves is that application's folder."""
-    path = f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
-    return path
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        if path.startswith("file://"):
-            shutil.rmtree(path[7:], ignore_errors=True)
-        elif spark.sparkContext._jsc is not None:  # not stopped yet
-            remove(spark, path)
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation of what is above."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote, once everything that reads them has been written itself."""
-    for t in tables:
-        remove(t.sparkSession, t.scratch_path)
-        _written[:] = [w for w in _written if w[1] != t.scratch_path]
-
-
 def bounded(written: DataFrame, rows: int) -> DataFrame:
     """A written table, marked for broadcast if it has at most so many rows; beyond that the join that reads it shuffles."""
     return F.broadcast(written) if written.count() <= rows else written
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b) with a > b: rows (node, root) for every node that has an edge; root is the smallest node reachable.
 

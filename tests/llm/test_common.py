@@ -2,6 +2,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from rasterloom import session
 from rasterloom.llm import common
 
 
@@ -15,7 +16,7 @@ def test_written_tables_and_their_release(spark):
     assert one.count() == 5 and there(one) and there(two) and one.scratch_path.startswith(common.shared_dir(spark))
     common.release(one, two)
     assert not there(one) and not there(two)
-    assert not any(path in (one.scratch_path, two.scratch_path) for _, path in common._written)
+    assert not any(path in (one.scratch_path, two.scratch_path) for _, path in session._written)
 
 
 def test_batches_are_bounded_in_bytes_not_rows(spark):
