@@ -17,7 +17,7 @@ from ..operators import chunks as C
 from ..operators import filters as R
 from ..operators.deflate import deflate_chunks, inflate_chunks
 from ..operators.framing import frames, header_bytes
-from ..sources.rasters import pixels, quantised, stacked, synthetic
+from ..sources.rasters import pixels, quantised, stacked
 from .encode import encode, encode_frames, image_rows, progress
 
 STACK = 8
@@ -94,10 +94,6 @@ def chunk_ranges(spark, sf_dir):
     return C.ranges(rows).drop("image_id")
 
 
-def synthetic_raster(spark, sf_dir):
-    return long(pixels(synthetic(spark, 256, 192)), "y", "x", "v")
-
-
 def filter_query(kind: S.Filter, bpp: int, length: int, spark, sf_dir):
     rows = above(raster(spark, sf_dir, length), length)
     return long(pixels(rows.select("image_id", "y", R.filtered(kind, bpp).alias("src"))), "y", "x", "v")
@@ -239,14 +235,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spec_derived": spec_derived,
     "chunk_plan": chunk_plan,
     "chunk_ranges": chunk_ranges,
-    "synthetic_raster": synthetic_raster,
     "filter_none": partial(filter_query, S.Filter.NONE, 1, 64),
     "filter_sub": partial(filter_query, S.Filter.SUB, 1, 64),
     "filter_up": partial(filter_query, S.Filter.UP, 1, 64),
     "filter_average": partial(filter_query, S.Filter.AVERAGE, 1, 64),
     "filter_paeth": partial(filter_query, S.Filter.PAETH, 1, 64),
     "filter_sub_bpp4": partial(filter_query, S.Filter.SUB, 4, 64),
-    "filter_average_bpp3": partial(filter_query, S.Filter.AVERAGE, 3, 63),
+    "filter_average_bpp3": partial(filter_query, S.Filter.AVERAGE, 3, 64),
     "filter_paeth_bpp8": partial(filter_query, S.Filter.PAETH, 8, 64),
     "row_complexity": row_complexity,
     "adaptive_choice": adaptive_choice,
@@ -336,14 +331,13 @@ ORACLES: dict[str, str] = {
       q AS (SELECT *, ceil(chunk_size / (stride + 1.0))::BIGINT AS rpc FROM p) SELECT *, ceil(height / rpc::DOUBLE)::BIGINT AS chunks_total FROM q""",
     "chunk_ranges": f"""SELECT i::BIGINT AS chunk_id, (i * {_RPC})::BIGINT AS start_row, least((i + 1) * {_RPC}, {_TALL})::BIGINT AS end_row, i = 0 AS is_start, i = {_chunked(_TALL)} - 1 AS is_end
       FROM (SELECT unnest(range({_chunked(_TALL)}::BIGINT)) AS i)""",
-    "synthetic_raster": """SELECT y::BIGINT AS y, k::BIGINT AS x, (CASE k % 3 WHEN 0 THEN k // 3 + y WHEN 1 THEN 2 * (k // 3) + y ELSE k // 3 + 2 * y END % 256)::BIGINT AS v FROM range(192) a(y), range(768) b(k)""",
     "filter_none": _filter_sql(0, 1, 64),
     "filter_sub": _filter_sql(1, 1, 64),
     "filter_up": _filter_sql(2, 1, 64),
     "filter_average": _filter_sql(3, 1, 64),
     "filter_paeth": _filter_sql(4, 1, 64),
     "filter_sub_bpp4": _filter_sql(1, 4, 64),
-    "filter_average_bpp3": _filter_sql(3, 3, 63),
+    "filter_average_bpp3": _filter_sql(3, 3, 64),
     "filter_paeth_bpp8": _filter_sql(4, 8, 64),
     "row_complexity": f"WITH {_px()}, {_near(1)}, {_CHOICE} SELECT y, c1 AS c_sub, c2 AS c_up, c3 AS c_average, c4 AS c_paeth FROM cost",
     "adaptive_choice": f"WITH {_px()}, {_near(1)}, {_CHOICE} SELECT y, code::BIGINT AS filter_type, m AS complexity FROM best",

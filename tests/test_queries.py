@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rasterloom.plans import catalog
+from rasterloom.plans import catalog, surface
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES | surface.QUERIES))
 def test_query_equals_its_sql(spark, oracle, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)

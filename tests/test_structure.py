@@ -13,6 +13,7 @@ def test_nothing_else_imports_the_subpackage():
 
 
 def test_every_query_has_sql():
-    from rasterloom.plans import catalog
+    from rasterloom.plans import catalog, surface
 
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(surface.QUERIES) == set(surface.ORACLES)
+    assert not set(catalog.QUERIES) & set(surface.QUERIES)
