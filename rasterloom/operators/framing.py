@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import adler32_combine, be32, frame, u8
-from ..functions.spec import SIGNATURE, header_problem, side_problem
+from ..functions.spec import SIGNATURE, RasterSpec, header_problem, side_problem
 
 MOST_DATA = (1 << 32) - 1
 _SIDE = "array<struct<position:bigint,tag:string,data:binary>>"
@@ -35,25 +35,31 @@ def _frame(ordinal: Column, tag: Column, data: Column) -> Column:
     return F.struct(ordinal.cast("long").alias("ordinal"), tag.alias("tag"), data.alias("frame"))
 
 
-def headed(images: DataFrame, side: DataFrame | None) -> DataFrame:
-    """A row for each image: header columns, side data in order, n_side; wrong ones are an error. Two headers for one image are, too."""
+def _sides(side: DataFrame) -> DataFrame:
+    """image_id, side: an image's side data in order."""
+    return side.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "tag", "data"))).alias("side"))
+
+
+def headed(header: RasterSpec | DataFrame, totals: DataFrame, side: DataFrame | None) -> DataFrame:
+    """totals with header columns, side data in order and n_side. header: one for all images, or a table with a row for each. What is wrong
+    with either is an error, and so are two headers for one image."""
     names = ("width", "height", "depth", "color_type")
-    one = images.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *(F.first(n).alias(n) for n in names))
+    if isinstance(header, RasterSpec):
+        told, problem = totals.select("*", *(F.lit(int(getattr(header, n))).cast("long").alias(n) for n in names)), F.lit(None).cast("string")
+    else:
+        told = header.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_headers"), *(F.first(n).alias(n) for n in names)).join(totals, "image_id", "left")
+        problem = F.coalesce(F.when(F.col("n_headers") > 1, "an image has one header"), header_problem(*map(F.col, names)))
     if side is None:
-        one = one.withColumn("side", F.array().cast(_SIDE))
+        told = told.withColumn("side", F.array().cast(_SIDE))
     else:
-        given = side.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "tag", "data"))).alias("side"))
-        one = one.join(given, "image_id", "left").withColumn("side", F.coalesce("side", F.array().cast(_SIDE)))
-    problem = F.coalesce(F.when(F.col("n") > 1, "an image has one header"), header_problem(*map(F.col, names)), side_problem(F.col("color_type"), F.col("side")))
-    return one.withColumn("n_side", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.size("side"))).drop("n")
-
-
-def _around(images: DataFrame, totals: DataFrame, streaming: bool) -> DataFrame:
-    """image_id and parts: its frames in order but for the data frames of single chunks, as (ordinal, tag, frame). totals: combined_adler()
-    with n_rows, and joined bytes if buffered. An image whose rows aren't all there is an error."""
-    told = images.join(totals, "image_id", "left")
-    lacks = F.coalesce(F.col("n_rows"), F.lit(0)) != F.col("height")
-    header = F.when(lacks, F.raise_error(F.lit("an image lacks rows or has some twice"))).otherwise(header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type")))
+        told = told.join(_sides(side), "image_id", "left").withColumn("side", F.coalesce("side", F.array().cast(_SIDE)))
+    problem = F.coalesce(problem, side_problem(F.col("color_type"), F.col("side")), F.when(F.coalesce(F.col("n_rows"), F.lit(0)) != F.col("height"), "an image lacks rows or has some twice"))
+    return told.withColumn("n_side", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.size("side")))
+
+
+def _around(told: DataFrame, streaming: bool) -> DataFrame:
+    """image_id and parts: the frames of headed() images in order but for the data frames of single chunks, as (ordinal, tag, frame)."""
+    header = header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type"))
     sides = F.transform("side", lambda s, i: _frame(i + 1, s["tag"], frame(s["tag"].cast("binary"), s["data"])))
     ending = F.when(F.col("n_chunks") > 1, be32(F.col("adler"))).otherwise(F.lit(b""))
     data, after = (ending, F.col("n_chunks")) if streaming else (F.concat("joined", ending), F.lit(0))
@@ -69,22 +75,22 @@ def _totals(chunks: DataFrame, streaming: bool) -> DataFrame:
     return combined_adler(chunks, *more)
 
 
-def frames(images: DataFrame, chunks: DataFrame, streaming: bool, side: DataFrame | None = None) -> DataFrame:
-    """image_id, ordinal, tag, frame. images: image_id, width, height, depth, color_type. side: image_id, position, tag, data.
+def frames(header: RasterSpec | DataFrame, chunks: DataFrame, streaming: bool, side: DataFrame | None = None) -> DataFrame:
+    """image_id, ordinal, tag, frame. header: what all images share, or image_id, width, height, depth, color_type of each. side: image_id,
+    position, tag, data.
 
     Buffered: one data frame for the image, the checksum at its end if there were several chunks (a lone chunk ends with its own). Chunks
     are read once, by one aggregation.
     Streaming: one for each chunk, then one with the checksum, empty after a lone chunk. Chunks are read for their numbers and for their
     bytes, so they should be a written table; a chunk's frame is made where the chunk is, and its place follows from its number.
     """
-    heads = headed(images, side)
-    around = _around(heads, _totals(chunks, streaming), streaming).select("image_id", F.explode("parts").alias("p")).select("image_id", "p.*")
+    around = _around(headed(header, _totals(chunks, streaming), side), streaming).select("image_id", F.explode("parts").alias("p")).select("image_id", "p.*")
     if not streaming:
         return around
     if side is None:
         placed = chunks.withColumn("n_side", F.lit(0))
     else:
-        placed = chunks.join(heads.select("image_id", "n_side"), "image_id")
+        placed = chunks.join(side.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_side")), "image_id", "left").withColumn("n_side", F.coalesce("n_side", F.lit(0)))
     each = placed.select("image_id", (F.col("n_side") + 1 + F.col("chunk_id")).cast("long").alias("ordinal"), F.lit("IDAT").alias("tag"), frame(F.lit(b"IDAT"), F.col("deflated")).alias("frame"))
     return around.unionByName(each)
 
@@ -94,7 +100,7 @@ def files(framed: DataFrame) -> DataFrame:
     return framed.groupBy("image_id").agg(F.expr("listagg(frame, X'') WITHIN GROUP (ORDER BY ordinal)").alias("png"))
 
 
-def buffered_files(images: DataFrame, chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
+def buffered_files(header: RasterSpec | DataFrame, chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
     """image_id, png in the buffered layout: one aggregation makes the file, so its bytes are moved once."""
-    parts = _around(headed(images, side), _totals(chunks, False), False)
+    parts = _around(headed(header, _totals(chunks, False), side), False)
     return parts.select("image_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["frame"])).alias("png"))

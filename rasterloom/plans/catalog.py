@@ -16,9 +16,9 @@ from ..functions import spec as S
 from ..operators import chunks as C
 from ..operators import filters as R
 from ..operators.deflate import deflate_chunks, inflate_chunks
-from ..operators.framing import frames, header_bytes
+from ..operators.framing import header_bytes
 from ..sources.rasters import pixels, quantised, stacked
-from .encode import encode, encode_frames, image_rows, progress
+from .encode import encode, encode_frames, progress
 
 STACK = 8
 SMALL = S.EncodeOptions(chunk_size=S.WINDOW)

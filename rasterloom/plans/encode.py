@@ -12,22 +12,16 @@ from ..session import cut
 from ..sources.rasters import from_buffer
 
 
-def image_rows(rows: DataFrame, spec: RasterSpec) -> DataFrame:
-    """A header row for each image that has rows."""
-    each = rows.select("image_id").distinct()
-    return each.select("image_id", F.lit(spec.width).cast("long").alias("width"), F.lit(spec.height).cast("long").alias("height"), F.lit(spec.depth).alias("depth"), F.lit(int(spec.color_type)).alias("color_type"))
-
-
 def check_rows(rows: DataFrame, spec: RasterSpec) -> DataFrame:
     """image_id, n_rows and complete: whether y runs from 0 to height - 1 without gaps or repeats and every row has its length."""
     told = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("y").alias("n_y"), F.min("y").alias("low"), F.max("y").alias("high"), F.min(F.octet_length("row") == spec.stride).alias("sized"))
     return told.select("image_id", "n_rows", ((F.col("n_rows") == spec.height) & (F.col("n_y") == spec.height) & (F.col("low") == 0) & (F.col("high") == spec.height - 1) & F.col("sized")).alias("complete"))
 
 
-def _plan(rows: DataFrame, header: RasterSpec | DataFrame, options: EncodeOptions, side: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _plan(rows: DataFrame, header: RasterSpec | DataFrame, options: EncodeOptions, side: DataFrame | None) -> tuple[RasterSpec | DataFrame, DataFrame, DataFrame | None]:
     """Headers, chunks and side data. A table of images may hold palettes and transparencies, which come before what side holds."""
     if isinstance(header, RasterSpec):
-        return image_rows(rows, header), deflate_chunks(rows, header, options), side
+        return header, deflate_chunks(rows, header, options), side
     own = side_of(header) if {"palette", "transparency"} & set(header.columns) else None
     if own is not None and side is not None:
         side = side.select("image_id", (F.col("position") + 2).alias("position"), "tag", "data")
@@ -179,5 +173,4 @@ class EncodeSession:
         if not self.is_finished():
             raise IncompleteImage("rows are missing")
         side = self.spark.createDataFrame([(self.image_id, k, t, bytearray(d)) for k, (t, d) in enumerate(self._side)], "image_id long, position long, tag string, data binary")
-        one = self.spark.createDataFrame([(self.image_id, self.spec.width, self.spec.height, self.spec.depth, int(self.spec.color_type))], "image_id long, width long, height long, depth int, color_type int")
-        return frames(one, self._compress(self.spec.height), self.options.streaming, side)
+        return frames(self.spec, self._compress(self.spec.height), self.options.streaming, side)
