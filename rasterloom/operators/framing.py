@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import adler32_combine, be32, frame, u8
-from ..functions.spec import SIGNATURE, RasterSpec, header_problem, side_problem
+from ..functions.spec import SIGNATURE, ColorType, RasterSpec, header_problem, side_problem
 
 MOST_DATA = (1 << 32) - 1
 _SIDE = "array<struct<position:bigint,tag:string,data:binary>>"
@@ -45,27 +45,32 @@ def headed(header: RasterSpec | DataFrame, totals: DataFrame, side: DataFrame |
     with either is an error, and so are two headers for one image."""
     names = ("width", "height", "depth", "color_type")
     if isinstance(header, RasterSpec):
-        told, problem = totals.select("*", *(F.lit(int(getattr(header, n))).cast("long").alias(n) for n in names)), F.lit(None).cast("string")
+        told, problems = totals.select("*", *(F.lit(int(getattr(header, n))).cast("long").alias(n) for n in names)), []
     else:
         told = header.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_headers"), *(F.first(n).alias(n) for n in names)).join(totals, "image_id", "left")
-        problem = F.coalesce(F.when(F.col("n_headers") > 1, "an image has one header"), header_problem(*map(F.col, names)))
+        problems = [F.when(F.col("n_headers") > 1, "an image has one header"), header_problem(*map(F.col, names))]
     if side is None:
         told = told.withColumn("side", F.array().cast(_SIDE))
     else:
         told = told.join(_sides(side), "image_id", "left").withColumn("side", F.coalesce("side", F.array().cast(_SIDE)))
-    problem = F.coalesce(problem, side_problem(F.col("color_type"), F.col("side")), F.when(F.coalesce(F.col("n_rows"), F.lit(0)) != F.col("height"), "an image lacks rows or has some twice"))
+    if side is not None:
+        problems.append(side_problem(F.col("color_type"), F.col("side")))
+    else:
+        problems.append(F.when(F.col("color_type") == int(ColorType.INDEXED), "indexed rows need a palette"))
+    problem = F.coalesce(*problems, F.when(F.coalesce(F.col("n_rows"), F.lit(0)) != F.col("height"), "an image lacks rows or has some twice"))
     return told.withColumn("n_side", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.size("side")))
 
 
-def _around(told: DataFrame, streaming: bool) -> DataFrame:
+def _around(told: DataFrame, streaming: bool, side: bool) -> DataFrame:
     """image_id and parts: the frames of headed() images in order but for the data frames of single chunks, as (ordinal, tag, frame)."""
     header = header_bytes(F.col("width"), F.col("height"), F.col("depth"), F.col("color_type"))
-    sides = F.transform("side", lambda s, i: _frame(i + 1, s["tag"], frame(s["tag"].cast("binary"), s["data"])))
+    sides = F.transform("side", lambda s, i: _frame(i + 1, s["tag"], frame(s["tag"].cast("binary"), s["data"]))) if side else None
     ending = F.when(F.col("n_chunks") > 1, be32(F.col("adler"))).otherwise(F.lit(b""))
     data, after = (ending, F.col("n_chunks")) if streaming else (F.concat("joined", ending), F.lit(0))
     at = F.col("n_side") + 1 + after
     rest = F.array(_frame(at, F.lit("IDAT"), frame(F.lit(b"IDAT"), data)), _frame(at + 1, F.lit("IEND"), frame(F.lit(b"IEND"), F.lit(b""))))
-    return told.select("image_id", F.concat(F.array(_frame(F.lit(0), F.lit("IHDR"), header)), sides, rest).alias("parts"))
+    head = F.array(_frame(F.lit(0), F.lit("IHDR"), header))
+    return told.select("image_id", F.concat(head, sides, rest).alias("parts") if side else F.concat(head, rest).alias("parts"))
 
 
 def _totals(chunks: DataFrame, streaming: bool) -> DataFrame:
@@ -84,7 +89,7 @@ def frames(header: RasterSpec | DataFrame, chunks: DataFrame, streaming: bool, s
     Streaming: one for each chunk, then one with the checksum, empty after a lone chunk. Chunks are read for their numbers and for their
     bytes, so they should be a written table; a chunk's frame is made where the chunk is, and its place follows from its number.
     """
-    around = _around(headed(header, _totals(chunks, streaming), side), streaming).select("image_id", F.explode("parts").alias("p")).select("image_id", "p.*")
+    around = _around(headed(header, _totals(chunks, streaming), side), streaming, side is not None).select("image_id", F.explode("parts").alias("p")).select("image_id", "p.*")
     if not streaming:
         return around
     if side is None:
@@ -102,5 +107,5 @@ def files(framed: DataFrame) -> DataFrame:
 
 def buffered_files(header: RasterSpec | DataFrame, chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
     """image_id, png in the buffered layout: one aggregation makes the file, so its bytes are moved once."""
-    parts = _around(headed(header, _totals(chunks, False), side), False)
+    parts = _around(headed(header, _totals(chunks, False), side), False, side is not None)
     return parts.select("image_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["frame"])).alias("png"))
