@@ -49,6 +49,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ANCHORS = re.compile(rf"[0-9@](?:[^0-9@]{{0,{GAP}}}[0-9@])*")
+_APART = re.compile(rf"[^0-9]{{{GAP + 1}}}")
 _SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -97,6 +98,8 @@ def well_formed(kind: int, s: str) -> bool:
         return bool(local) and "@" not in domain and "." in domain.strip(".") and not re.search(r"\s", s) and domain[-1].isalnum()
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split("."))
+    if _APART.search(s):
+        return False
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", s))
     return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", s)) and bool(re.search(r"[+()]|[ .-]", s))
