@@ -455,3 +455,22 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_groups(table(spark, sf_dir, "documents")).drop("group_key", "raw")
+
+
+#: Full sets, all pairs with a shingle in common, and components by recursion.
+ORACLE = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM documents
+),
+n AS (
+  SELECT rid, doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < {SHINGLE} THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(t) - {SHINGLE - 1}), lambda i: array_to_string(t[i:i + {SHINGLE - 1}], ' '))) END AS s FROM w
+),
+u AS (SELECT rid, unnest(s) AS x FROM n),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.rid < b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * k >= 85 * (len(p.s) + len(q.s) - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(rid, other) AS (SELECT rid, rid FROM n UNION SELECT r.rid, e.b FROM reach r JOIN edges e ON e.a = r.other),
+lowest AS (SELECT r.rid, min(o.doc_id) AS component_id FROM reach r JOIN n o ON o.rid = r.other GROUP BY r.rid)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN lowest USING (rid)
+"""

@@ -144,3 +144,7 @@ def test_edges(edges, empty):
     seven = N.near_groups(edges.where("doc_id = 7")).collect()
     assert [(r["component_id"], r["kept"]) for r in seven] == [(7, True)] * 2
     assert N.near_groups(empty).collect() == []
+
+
+def test_query(same_as_sql):
+    same_as_sql("op3_near_dedup")
