@@ -45,6 +45,8 @@ from .common import cut, release, small_batches
 
 POSITIVE_ROWS, NEGATIVE_ROWS = 2000, 3000
 STEM = (4, 12)
+#: Characters whose stems a task counts before it passes the counts on.
+COUNTED = 1 << 18
 LEAST_TEXTS, LEAST_RATIO, LEAST_GAIN = 4, 4.0, 30.0
 SCOPE = 3
 THRESHOLD = 0.7
@@ -372,7 +374,12 @@ def _columns(batch: pa.RecordBatch) -> tuple[list, list, list]:
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, texts, toxic = _columns(batch)
-        yield _counted(count_stems(texts, toxic))
+        start = size = 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= COUNTED or end == len(texts):
+                yield _counted(count_stems(texts[start:end], toxic[start:end]))
+                start, size = end, 0
 
 
 def _hold_task(stems: set[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
