@@ -21,7 +21,7 @@ from rasterloom.llm.toxicity import keep_clean, train
 #: Per cent of shared five-word shingles from which documents are near-duplicates; op3_near_dedup has its own.
 NEAR = 80
 #: Pieces that a worker keeps between batches.
-REMEMBERED = 240_000
+REMEMBERED = 100_000
 #: Named rows, of some 30 bytes each, that are broadcast to the documents; with more of them both sides are shuffled.
 NAMED = 1_000_000
 
